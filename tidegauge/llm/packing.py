@@ -20,7 +20,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ CAPACITY = 2048
 END = 0
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, k long"
 WORDS_KEPT = 300_000
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordEncoder:
@@ -61,19 +62,31 @@ class WordEncoder:
 
 
 def _pieces(path: str, capacity: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen, encoder = TaskContext.get().partitionId(), Counter(), WordEncoder(path)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(["" if t is None else t for t in batch["text"]]), strict=True):
+            for row, ids in enumerate(encoder.encode(["" if t is None else t for t in batch["text"].to_pylist()])):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]
                     length = len(part) // 4
-                    rows.append((doc_id, piece, start, length, zlib.crc32(part), task, seen[length]))
+                    rows.append((row, piece, start, length, zlib.crc32(part), task, seen[length]))
                     seen[length] += 1
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+            row, piece, start, length, crc, tasks, k = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else [()] * 7))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"].take(pa.array(row)),
+                    pa.array(piece, pa.int32()),
+                    pa.array(start),
+                    pa.array(length, pa.int32()),
+                    pa.array(crc),
+                    pa.array(tasks, pa.int32()),
+                    pa.array(k),
+                ],
+                names=[c.split()[0] for c in PIECES.split(", ")],
+            )
 
     return cut
 
@@ -176,17 +189,18 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
 
 
 def _placed(places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             lengths, ranks = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            sequence, offset = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for length in np.unique(lengths):
                 at = np.flatnonzero(lengths == length)
                 firsts, bases, offsets = places[int(length)]
                 i = np.searchsorted(firsts, ranks[at], "right") - 1
                 sequence[at], offset[at] = bases[i] + ranks[at] - firsts[i], offsets[i]
-            out = batch[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "Int64", "length": "int64"})
-            yield out.assign(sequence_id=sequence, offset=offset)
+            same = [batch[c] for c in ("doc_id", "piece", "start")]
+            rest = [pa.array(lengths.astype(np.int64)), batch["ids_crc32"], pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(same + rest, names=[c.split()[0] for c in PLACED.split(", ")])
 
     return place
 
@@ -195,12 +209,11 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = stage(texts.mapInPandas(_pieces(tokenizer_path, capacity), PIECES), "pack-pieces")
+    pieces = stage(texts.mapInArrow(_pieces(tokenizer_path, capacity), PIECES), "pack-pieces")
     by_task = stage(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan_counts(counts, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("k"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(_placed(places), schema)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(places), PLACED)

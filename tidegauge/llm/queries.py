@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, topk
+from . import exact_dedup, packing, substring, topk
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -27,9 +31,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_exact_topk, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_substring_dedup, op8_exact_topk, op9_exact_dedup)}
 
 ORACLES = {
+    "op6_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM t WHERE len(w) > 0),
+        x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM p WHERE i + 12 <= len(w)),
+        m AS (SELECT g, min(doc_id) AS d FROM x GROUP BY g),
+        c AS (SELECT DISTINCT doc_id, i + o AS i FROM x JOIN m USING (g), range(13) r(o) WHERE x.doc_id > m.d),
+        k AS (
+            SELECT p.doc_id, count(*) AS n_words, count(c.i) AS n_removed,
+                   coalesce(string_agg(p.w[p.i], ' ' ORDER BY p.i) FILTER (WHERE c.i IS NULL), '') AS kept
+            FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+        SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM t LEFT JOIN k USING (doc_id)""",
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS w
