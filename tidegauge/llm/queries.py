@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, substring, topk
-from .common import table
+from . import exact_dedup, langid, packing, substring, topk, toxicity
+from .common import crc_mod, table
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -15,6 +15,17 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_mod(F.col("doc_id"), 3)
+    return langid.identify(table(spark, sf_dir, "documents"), learn=part != 1, held_out=part == 1)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_mod(F.col("doc_id"), 5)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.detect(docs, labels, learn=part != 0, held_out=part == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,7 +42,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op6_substring_dedup, op8_exact_topk, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_best_fit_packing, op6_substring_dedup, op8_exact_topk, op9_exact_dedup)}
 
 ORACLES = {
     "op6_substring_dedup": r"""
