@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, substring, topk, toxicity
+from . import exact_dedup, langid, packing, pii, substring, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), learn=part != 1, held_out=part == 1)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents")).drop("fp", "all_spans")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = crc_mod(F.col("doc_id"), 5)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -42,7 +46,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_toxicity, op5_best_fit_packing, op6_substring_dedup, op8_exact_topk, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op5_best_fit_packing, op6_substring_dedup, op8_exact_topk, op9_exact_dedup)}
 
 ORACLES = {
     "op6_substring_dedup": r"""
