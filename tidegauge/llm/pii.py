@@ -25,6 +25,7 @@ from .common import stage
 
 ROUNDS = 3
 MIN_SEEDS = 3  # distinct seeds that must follow a pattern
+SHORTEST = 4  # characters of a new identifier
 WORTH = 0.5  # of a pattern, to introduce new identifiers
 KINDS = ["email", "ip", "card", "phone", "id"]
 
@@ -94,7 +95,7 @@ def _candidates(text: Column) -> Column:
             F.lower(F.regexp_extract(before, r"(\S{1,32})\s+$", 1)).alias("w"),
         )
 
-    return F.filter(F.transform(found, with_context), lambda x: F.length(x["t"]) >= 4)
+    return F.transform(found, with_context)
 
 
 def _patterns(edges: DataFrame, words: DataFrame) -> DataFrame:
@@ -130,6 +131,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     near = found.where(F.size("cand") > 0).select("doc_id", "fp", F.concat(*base.values()).alias("base"), F.explode("cand").alias("c"))
     covered = F.filter("base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
     edges = near.where(~F.col("c.w").rlike("[0-9@]") & (F.col("c.w") != "")).select("doc_id", "fp", "c.w", "c.s", "c.e", "c.t", F.get(covered, F.lit(0)).alias("b"))
+    edges = edges.where(F.col("b").isNotNull() | (F.length("t") >= SHORTEST))
     edges = edges.withColumns({"seed": F.col("b").isNotNull(), "t": F.coalesce(F.lower("b.t"), "t")}).drop("b")
     words = texts.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("w"))
     new = edges.where(~F.col("seed")).join(_patterns(edges, words), "w", "left_semi")
