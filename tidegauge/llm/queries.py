@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, packing, pii, substring, topk, toxicity
+from . import exact_dedup, html_extract, jaccard, langid, packing, pii, substring, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -30,12 +30,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(docs, labels, learn=part != 0, held_out=part == 0)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op4_html_extract, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup)}
 
 ORACLES = {
     "op6_substring_dedup": r"""
