@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, jaccard, langid, packing, pii, substring, topk, toxicity
+from . import exact_dedup, html_extract, jaccard, langid, packing, pii, sentencepiece_scan, substring, topk, toxicity
 from .common import crc_mod, table
 
 
@@ -54,7 +54,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op4_html_extract, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, and whether the decoded ids give the text again."""
+    path = vocabulary("piece_bpe_32k.model")
+    rows = sentencepiece_scan.decode(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), path), path)
+    return rows.select(
+        "doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("round_trip")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op4_html_extract, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup, op10_sentencepiece)}
 
 ORACLES = {
     "op6_substring_dedup": r"""
