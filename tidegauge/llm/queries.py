@@ -63,7 +63,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op4_html_extract, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup, op10_sentencepiece)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_toxicity, op4_html_extract, op5_best_fit_packing, op6_substring_dedup, op7_jaccard_join, op8_exact_topk, op9_exact_dedup, op10_sentencepiece, pipeline)}
 
 ORACLES = {
     "op6_substring_dedup": r"""

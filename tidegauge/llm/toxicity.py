@@ -314,17 +314,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     return fit(landmarks, pooled, np.array([r["toxic"] for r in got]), sizes[1] / (sizes[0] + sizes[1]))
 
 
-def detect(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, per_class: int = PER_CLASS) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def detect(
+    docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, per_class: int = PER_CLASS, keep: list[str] | None = None
+) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; with ``keep``, these columns of docs and _predicted."""
     machine = train(docs, labels, learn, per_class)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    if keep is not None:
+        texts = docs.select(*keep)
+    schema = OUT if keep is None else texts.withColumn("_predicted", F.lit(0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = machine.scores(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    return texts.mapInArrow(score, OUT)
+            toxic = pa.array((scores >= 0.5).astype(np.int32))
+            if keep is None:
+                columns = [batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64()), toxic]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, toxic], names=[*batch.schema.names, "_predicted"])
+
+    return texts.mapInArrow(score, schema)
