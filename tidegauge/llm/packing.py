@@ -15,6 +15,7 @@ each on its own; an empty table gives an empty result; only id and text columns
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -38,26 +39,50 @@ class WordEncoder:
     """Token ids as packed little-endian bytes; words are encoded once and remembered up to a bound.
 
     Exact for tokenizers whose tokens never span white space: splitting at a space or line feed
-    then never changes the ids.
+    then never changes the ids. Words of ASCII and Latin-1 letters are cut into letters, digits
+    and marks here, as the tokenizer would, and only new pieces go to its merge table; any other
+    word goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+    CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.parts = {"": b""}, {}
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        probe = "Ab3's \u00c9t\u00e9, x--y!? it'll 'd\u00df9-'tis"
+        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self.cuts = b"".join(map(self._cut, probe.split(" "))) == np.array(whole, "<u4").tobytes()
+
+    def _cut(self, word: str) -> bytes:
+        out = []
+        for part in self.CUT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = np.array([t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))], "<u4").tobytes()
+                self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _new(self, word: str) -> bytes:
+        if self.cuts and self.PLAIN.fullmatch(word) and "<|" not in word:
+            return self._cut(word)
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             words = text.replace("\n", " ").split(" ")
             known = self.known
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                known[""] = b""
-            new = list({w for w in words if w not in known})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    known[word] = np.array(got.ids, "<u4").tobytes()
+            for memory in (known, self.parts):
+                if len(memory) > WORDS_KEPT:
+                    memory.clear()
+            for word in words:
+                if word not in known:
+                    known[word] = self._new(word)
             yield b"".join(map(known.__getitem__, words))
 
 
