@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ensembles, series, volatility  # noqa: F401
+from . import ensembles, scoring, series, volatility  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
