@@ -107,12 +107,12 @@ def first_passage(paths: DataFrame, by: list[str], barrier: Column, down: bool =
     hit = (lambda p: p <= barrier) if down else (lambda p: p >= barrier)
     first = F.array_min(F.transform("prices", lambda p, i: F.when(hit(p), i + 1)))
     terminal = F.element_at("prices", -1)
-    got = paths.select(*by, first.alias("k"), terminal.alias("terminal"), hit(terminal).alias("ends"))
-    touch, ends = F.avg(F.col("k").isNotNull().cast("double")), F.avg(F.col("ends").cast("double"))
-    alive = F.when(F.col("k").isNull(), F.col("terminal"))
+    got = paths.select(*by, first.alias("_first"), terminal.alias("_terminal"), hit(terminal).alias("_ends"))
+    touch, ends = F.avg(F.col("_first").isNotNull().cast("double")), F.avg(F.col("_ends").cast("double"))
+    alive = F.when(F.col("_first").isNull(), F.col("_terminal"))
     return got.groupBy(*by).agg(
-        touch.alias("touch"), ends.alias("ends"), F.count("k").alias("n_touched"), (touch / F.nullif(ends, F.lit(0.0))).alias("ratio"),
-        F.avg("k").alias("mean_sessions"), F.percentile(alive, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
+        touch.alias("touch"), ends.alias("ends"), F.count("_first").alias("n_touched"), (touch / F.nullif(ends, F.lit(0.0))).alias("ratio"),
+        F.avg("_first").alias("mean_sessions"), F.percentile(alive, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"),
     )
 
 

@@ -11,7 +11,7 @@ from ..sources.cache import CacheStore, Meta
 def tumbling_bars(ticks: DataFrame, width: str = "1 day", late: str = "2 days", by: str = "event_type") -> DataFrame:
     """Open, high, low, close and count of each window; a window closes when the watermark passes it."""
     if ticks.isStreaming:
-        ticks = ticks.withWatermark("ts", late)
+        ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return (
         ticks.groupBy(F.window("ts", width).alias("w"), by)
         .agg(
@@ -25,7 +25,7 @@ def tumbling_bars(ticks: DataFrame, width: str = "1 day", late: str = "2 days",
 def session_bursts(ticks: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
     """Runs of a user's events with no gap longer than this."""
     if ticks.isStreaming:
-        ticks = ticks.withWatermark("ts", late)
+        ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     got = ticks.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high"))
     return got.select("user_id", F.col("w.start").alias("start"), "n", "high")
 
