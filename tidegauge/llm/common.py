@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,3 +58,15 @@ def input_bytes(df: DataFrame) -> int:
 
 def bucket_count(df: DataFrame, per_bucket: int, least: int = 256) -> int:
     return int(max(least, min(1 << 20, input_bytes(df) // per_bucket)))
+
+
+def first_of_each(rows: DataFrame, key: str, n: int, salt: int) -> DataFrame:
+    """The n rows of each key that come first by a hash of doc_id; rows hold doc_id and the key.
+
+    A hash threshold from the key's own count leaves about 2n rows of it before any are ranked, so
+    that no task sees more of a large key (by bad luck a large key may give a few less than n)."""
+    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    near = hashed.join(counts, key).where(F.col("_h") * F.col("_n") <= F.lit(float(2 * n * (1 << 40))))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_h", "doc_id"))
+    return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_h", "_n", "_r")

@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import first_of_each, small_batches
 
 DIMS = 1 << 15
 PER_LANG = 600
@@ -132,15 +132,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """Fit on the rows where ``learn`` holds: their text and lang alone."""
     small_batches(docs.sparkSession)
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-        .withColumn("r", F.row_number().over(first))
-        .where(F.col("r") <= per_lang)
-        .select(F.col("doc_id").alias("_id"))
-        .distinct()
-    )  # at most per_lang ids of each language
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
+    chosen = first_of_each(labelled, "lang", per_lang, 11).select(F.col("doc_id").alias("_id")).distinct()  # at most per_lang of each language
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").where(F.col("lang").isNotNull())
     got = sample.select("lang", "text").mapInArrow(_features, "lang string, found binary, counts binary").collect()
     rows = [(r["lang"], np.frombuffer(r["found"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float)) for r in got]

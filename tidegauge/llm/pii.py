@@ -152,8 +152,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; other columns and texts unchanged."""
-    found = find_pii(docs).where(F.size("all_spans") > 0).select(F.col("doc_id").alias("id2"), "fp", "all_spans").dropDuplicates(["id2", "fp"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("id2")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("fp")), "left")
+    found = find_pii(docs).where(F.size("all_spans") > 0).dropDuplicates(["doc_id", "fp"])
+    found = found.select(F.col("doc_id").alias("_pii_id"), F.col("fp").alias("_pii_fp"), F.col("all_spans").alias("_pii_spans"))
+    same = docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_pii_fp"))
+    joined = docs.join(found, same, "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
@@ -163,6 +165,6 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
     init = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("all_spans", init, step)
+    done = F.aggregate("_pii_spans", init, step)
     masked = F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-    return joined.select(*[F.when(F.col("all_spans").isNotNull(), masked).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col("_pii_spans").isNotNull(), masked).otherwise(text).alias("text") if c == "text" else docs[c] for c in docs.columns])

@@ -27,15 +27,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import first_of_each, small_batches
 
 PER_CLASS = 3000
 LANDMARKS = 160
-POWER = 3  # the kernel's power, itself a kernel: near doubles count, chance likeness does not
+POWER = 2  # the kernel's power, itself a kernel: near doubles count, chance likeness does not
 DECAY = 0.6
+BLUR, EXTRA = 0.65, 0.1  # kernel value of an insult with a character inserted; weight of such rows
 REACH = 4  # a triple's last character is at most this far from its first
 FLOOR = 0.4  # kernel values below this count as 0
 SHAPES = [(b, c) for b in range(1, REACH) for c in range(b + 1, REACH + 1)]
@@ -252,13 +253,21 @@ def fit(landmarks: list[str], pooled: np.ndarray, toxic: np.ndarray, prior: floa
     x, y = pooled.astype(np.float64) @ machine.whiten, np.where(toxic > 0, 1.0, -1.0)
     share = (y > 0).mean()
     weight = np.where(y > 0, prior / share, (1 - prior) / (1 - share))
+    # each toxic text again with its insults blurred, and with nothing but its insults
+    hit = pooled[y > 0] >= 0.9**POWER
+    blurred, bare = np.where(hit, BLUR**POWER, pooled[y > 0]), np.where(hit, pooled[y > 0], 0)
+    more = np.r_[blurred, bare].astype(np.float64) @ machine.whiten
+    more_y, more_weight = np.ones(len(more)), np.full(len(more), EXTRA * prior / share)
+    # and a text without anything near a landmark, which is not toxic
+    more, more_y = np.r_[more, np.zeros((1, more.shape[1]))], np.r_[more_y, -1.0]
+    more_weight = np.r_[more_weight, 2 * EXTRA * weight.sum()]
     out = np.zeros(len(y))
     for part in range(3):
         test = np.arange(len(y)) % 3 == part
         if len(set(y[~test])) == 2:
-            w, b = _squared_hinge(x[~test], y[~test], weight[~test], cost)
+            w, b = _squared_hinge(x[~test], y[~test], weight[~test], cost)  # scores for the sigmoid: out of fold
             out[test] = x[test] @ w + b
-    machine.weights, machine.bias = _squared_hinge(x, y, weight, cost)
+    machine.weights, machine.bias = _squared_hinge(np.r_[x, more], np.r_[y, more_y], np.r_[weight, more_weight], cost)
     machine.platt = _sigmoid_fit(out, y, weight)
     return machine
 
@@ -277,9 +286,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     sizes = {int(r["toxic"] > 0): r["count"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     if len(sizes) < 2:
         return Machine()
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).withColumn("r", F.row_number().over(first))
-    chosen = chosen.where(F.col("r") <= per_class).select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 x per_class rows
+    chosen = first_of_each(marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic", per_class, 5)
+    chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 x per_class rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
     words = sample.select("toxic", "text").mapInArrow(_words, "toxic int, words array<string>")
     n1, n0 = (float(max(1, min(per_class, sizes[c]))) for c in (1, 0))
