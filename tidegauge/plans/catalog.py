@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attribution, ensembles, market, scoring, series, volatility  # noqa: F401
+from . import attribution, backtests, ensembles, market, scoring, series, volatility  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
