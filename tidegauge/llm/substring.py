@@ -20,7 +20,6 @@ table gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,6 @@ WINDOW = 13
 MINIMISER = 3
 BATCH_WORDS = 2_000_000
 BUCKET_BYTES = 2 << 20
-WORD = re.compile("[^\x20\x09-\x0d]+")
-BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
 PARTS = "bucket int, doc_id long, fp long, starts binary, ends binary, block binary"
 PARTS_ARROW = pa.schema(
     [("bucket", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("block", pa.binary())]
@@ -47,28 +44,25 @@ KEPT = pa.schema(
 )
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words `[^\\x20\\x09-\\x0D]+`, unchanged."""
-    return [] if not text else [w for w in text.translate(BLANKS).split(" ") if w]
+def words_of(text: str | None) -> list[bytes]:
+    """The words `[^\\x20\\x09-\\x0D]+`, unchanged, in UTF-8: bytes split at just these blanks."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordTable:
+class WordTable(dict):
     """Numbers for words, exact within one batch, and a hash for each that is the same everywhere."""
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-    def number(self, words: list[str]) -> np.ndarray:
-        ids = self.ids
-        for w in words:
-            if w not in ids:
-                ids[w] = len(ids)
-        return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+    def number(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def hashes(self) -> np.ndarray:
         import xxhash
 
-        return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in self.ids), np.uint64, len(self.ids))
+        return np.fromiter(map(xxhash.xxh64_intdigest, self), np.uint64, len(self))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,7 +120,7 @@ def _minimisers(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batch(docs: list[tuple[int, int, list[str]]], buckets: int) -> Iterator[pa.RecordBatch]:
+def _batch(docs: list[tuple[int, int, list[bytes]]], buckets: int) -> Iterator[pa.RecordBatch]:
     """Settle a batch's own repeats and pack the rest by bucket."""
     docs.sort(key=lambda d: d[:2])
     table, sizes = WordTable(), np.array([len(d[2]) for d in docs])
@@ -136,8 +130,7 @@ def _batch(docs: list[tuple[int, int, list[str]]], buckets: int) -> Iterator[pa.
     row = np.repeat(np.arange(len(docs)), sizes)
     key = np.array([d[0] for d in docs], np.int64)[row]
     begins = np.cumsum(sizes) - sizes
-    same_id = key  # windows must lie in one row; two rows of one id stay apart
-    at, lose = losers_by_row(ids, h, row, same_id)
+    at, lose = losers_by_row(ids, h, row, key)
     out = []
     for r, starts in _by_row(row, at[lose]):
         s, e = _ranges(starts - begins[r])
@@ -151,18 +144,20 @@ def _batch(docs: list[tuple[int, int, list[str]]], buckets: int) -> Iterator[pa.
         last = np.r_[first[1:] - 1, len(go) - 1]
         a, b = go[first], go[last] + WINDOW
         bucket = (_mix(least[first] + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
-        text = " ".join(words)
+        text = b" ".join(words)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
         order = np.argsort(bucket, kind="stable")
-        ta, tb = offsets[a][order].tolist(), (offsets[b] - 1)[order].tolist()
-        strings = [text[i:j] for i, j in zip(ta, tb, strict=True)]
-        r = row[a][order]
-        head = np.stack([key[a][order], np.array([d[1] for d in docs], np.int64)[r], a[order] - begins[r]], 1)
+        a, b = a[order], b[order]
+        strings = [text[i:j] for i, j in zip(offsets[a].tolist(), (offsets[b] - 1).tolist(), strict=True)]
+        r = row[a]
+        owner = np.stack([[d[0] for d in docs], [d[1] for d in docs]], 1).astype(np.int64)
         groups, firsts = np.unique(bucket[order], return_index=True)
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for g, i, j in zip(groups.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True):
-            packed = np.int64(j - i).tobytes() + head[i:j].tobytes() + "\n".join(strings[i:j]).encode()
-            out.append((g, None, None, None, None, squeeze.compress(packed)))
+            docs_here, who = np.unique(r[i:j], return_inverse=True)
+            numbers = (np.diff(who, prepend=0).astype("<i4"), (a[i:j] - begins[r[i:j]]).astype("<i4"), (b[i:j] - a[i:j]).astype("<i4"))
+            head = np.array([len(docs_here), j - i], np.int64).tobytes() + owner[docs_here].tobytes()
+            out.append((g, None, None, None, None, squeeze.compress(head + b"".join(x.tobytes() for x in numbers) + b" ".join(strings[i:j]))))
     if out:
         yield _frame(out)
 
@@ -223,68 +218,75 @@ def _spread(buckets: int):
 
 def _judge(blocks: list[bytes]) -> pa.RecordBatch:
     """One bucket: sort its windows, and return the ranges that smaller documents also have."""
-    out = []
-    heads, lists = [], []
+    owners, whos, starts_, sizes_, table, ids_ = [], [], [], [], WordTable(), []
     for block in blocks:
         packed = zstandard.ZstdDecompressor().decompress(block)
-        n = int(np.frombuffer(packed, np.int64, 1)[0])
-        heads.append(np.frombuffer(packed, np.int64, 3 * n, 8).reshape(n, 3))
-        lists += packed[8 + 24 * n :].decode().split("\n")
-    if heads:
-        head = np.concatenate(heads)
-        order = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
-        head = head[order]
-        words = [lists[i].split(" ") for i in order]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        table = WordTable()
-        ids = table.number([w for ws in words for w in ws])
-        row = np.repeat(np.arange(len(words)), sizes)
-        begins = np.cumsum(sizes) - sizes
-        # one gap word before each string keeps windows inside it
-        place = np.arange(len(ids)) + row + 1
-        wide = np.full(len(ids) + len(words), -1)
-        wide[place] = ids
-        h = np.full(len(wide), np.uint64(99))
-        h[place] = table.hashes()[ids]
-        doc = np.full(len(wide), np.iinfo(np.int64).min)
-        doc[place] = head[row, 0]
-        at, lose = losers(wide, h, doc)
-        back = np.full(len(wide), -1)
-        back[place] = np.arange(len(ids))
-        at = at[lose]
-        at = back[at[(back[at] >= 0) & (back[np.minimum(at + WINDOW - 1, len(wide) - 1)] - back[at] == WINDOW - 1)]]
-        if len(at):
-            r = row[at]
-            starts = at - begins[r] + head[r, 2]
-            _, who = np.unique(head[:, :2], axis=0, return_inverse=True)
-            who = who.reshape(-1)[r]
-            order = np.lexsort((starts, who))
-            for part in np.split(order, np.flatnonzero(np.diff(who[order])) + 1):
-                s, e = _ranges(starts[part])
-                i = r[part[0]]
-                out.append((-1, head[i, 0], head[i, 1], s.astype("<i4").tobytes(), e.astype("<i4").tobytes(), None))
+        n_docs, n = np.frombuffer(packed, np.int64, 2).tolist()
+        at = 16 + 16 * n_docs
+        whos.append(np.cumsum(np.frombuffer(packed, "<i4", n, at)) + sum(map(len, owners)))
+        owners.append(np.frombuffer(packed, np.int64, 2 * n_docs, 16).reshape(n_docs, 2))
+        starts_.append(np.frombuffer(packed, "<i4", n, at + 4 * n))
+        sizes_.append(np.frombuffer(packed, "<i4", n, at + 8 * n))
+        ids_.append(table.number(packed[at + 12 * n :].split(b" ")))
+    owner, who = np.unique(np.concatenate(owners), axis=0, return_inverse=True)
+    who = who.reshape(-1)[np.concatenate(whos)]
+    start, size, ids = np.concatenate(starts_).astype(np.int64), np.concatenate(sizes_).astype(np.int64), np.concatenate(ids_)
+    # strings in order of their documents, one gap word before each to keep windows inside it
+    order = np.lexsort((start, who))
+    begin = (np.cumsum(size) - size)[order]
+    start, size, who = start[order], size[order], who[order]
+    first = np.cumsum(size + 1) - size
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) + row + 1
+    mine = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(row))]
+    wide = np.full(len(row) + len(size), -1, np.int32)
+    wide[place] = mine
+    h = np.full(len(wide), 99, np.uint64)
+    h[place] = table.hashes()[mine]
+    doc = np.full(len(wide), np.iinfo(np.int64).min)
+    doc[place] = owner[who, 0][row]
+    string = np.zeros(len(wide), np.int64)
+    string[place] = row
+    at, lose = losers(wide, h, doc)
+    at = at[lose & (wide[at] >= 0) & (string[at] == string[np.minimum(at + WINDOW - 1, len(wide) - 1)])]
+    out = []
+    if len(at):
+        s = string[at]
+        begins, docs = at - first[s] + start[s], who[s]
+        order = np.lexsort((begins, docs))
+        for part in np.split(order, np.flatnonzero(np.diff(docs[order])) + 1):
+            a, b = _ranges(begins[part])
+            i = docs[part[0]]
+            out.append((-1, int(owner[i, 0]), int(owner[i, 1]), a.astype("<i4").tobytes(), b.astype("<i4").tobytes(), None))
     return _frame(out)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends")), strict=True):
-            words = words_of(text)
-            gone = np.zeros(len(words) + 1, np.int64)
-            for s, e in zip(starts or (), ends or (), strict=True):
-                np.add.at(gone, np.frombuffer(s, "<i4"), 1)
-                np.add.at(gone, np.frombuffer(e, "<i4"), -1)
-            cover = np.cumsum(gone)[:-1] > 0
-            kept = " ".join(w for w, c in zip(words, cover.tolist(), strict=True) if not c) if cover.any() else " ".join(words)
-            rows.append((len(words), int(cover.sum()), hashlib.sha256(kept.encode()).hexdigest(), kept))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, list(KEPT)[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], schema=KEPT)
-
-
-def substring_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text."""
+def _kept(with_text: bool):
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends")), strict=True):
+                words, removed = words_of(text), 0
+                n = len(words)
+                if starts:
+                    gone = np.zeros(n + 1, np.int64)
+                    for s, e in zip(starts, ends, strict=True):
+                        np.add.at(gone, np.frombuffer(s, "<i4"), 1)
+                        np.add.at(gone, np.frombuffer(e, "<i4"), -1)
+                    cover = (np.cumsum(gone)[:-1] > 0).tolist()
+                    removed = sum(cover)
+                    words = [w for w, c in zip(words, cover, strict=True) if not c]
+                left = b" ".join(words)
+                rows.append((n, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if with_text else None))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(KEPT)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], schema=KEPT)
+
+    return kept
+
+
+def substring_dedup(docs: DataFrame, buckets: int | None = None, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fp", F.xxhash64("text"))
     parts = texts.where("doc_id is not null and text is not null").mapInArrow(
@@ -298,7 +300,7 @@ def substring_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     return (
         texts.join(found, ["doc_id", "fp"], "left")
         .select("doc_id", "text", "starts", "ends")
-        .mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+        .mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )
 
 
