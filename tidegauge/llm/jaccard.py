@@ -6,8 +6,8 @@ narrows in steps, none of which loses a link:
 1. Every class's shingles go, as packed blocks, to buckets by hash. A link needs three quarters
    of a set shared, so classes with fewer shared shingles have no links. (Shingles travel as
    46-bit numbers here; a chance match only lets a class through to the next step.)
-2. Of linked sets, the prefixes (the least quarter of the hashes, plus one) meet. Classes with a
-   common prefix shingle form clusters, found as connected components.
+2. Of linked sets, the prefixes (the rarest quarter of the shingles, plus one) meet. Classes with
+   a common prefix shingle form clusters, found as connected components.
 3. Within a cluster, signature trees: leaves hold sets sorted by size, nodes the OR and AND of
    their token bitmaps and the range of sizes. A dual traversal drops a pair of nodes when the
    largest overlap they allow is too small, or when all below is linked already; the rest are
@@ -156,16 +156,26 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["cls"], sizes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "size", "tokens"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hashes of each set, so many that linked sets must share one."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out_t, out_c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for key, raw in zip(batch["cls"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
-            s = np.frombuffer(raw, np.int64)
-            least = s[: len(s) - -(-NUMERATOR * len(s) // DENOMINATOR) + 1]
-            out_t.append(least)
-            out_c.append(np.full(len(least), key))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t)), pa.array(np.concatenate(out_c))], names=["token", "cls"])
+        sets = [np.frombuffer(raw, np.int64) for raw in batch["tokens"].to_pylist()]
+        owner = np.repeat(batch["cls"].to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), pa.array(owner, pa.int64())], names=["token", "cls"])
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """(u, v): each class with the least class of every shingle in its prefix.
+
+    The prefix is the rarest quarter of a set's shingles, plus one: of linked sets, the prefixes
+    share a shingle. Rare first, so that passages common to many texts tie nothing together."""
+    tokens = sets.select("cls", "tokens").mapInArrow(_tokens, "token long, cls long")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("cls").alias("head"), F.max("cls").alias("last"))
+    shared = tokens.join(common.where("head <> last").drop("last"), "token")
+    packed = shared.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("df", "token", "head"))).alias("x"))
+    sizes = sets.select("cls", "size").distinct()
+    prefix = F.col("size") - F.ceil(F.col("size") * NUMERATOR / DENOMINATOR) + 1 - (F.col("size") - F.size("x"))
+    heads = F.array_distinct(F.transform(F.slice("x", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")), lambda t: t["head"]))
+    return packed.join(sizes, "cls").select(F.col("cls").alias("u"), F.explode(heads).alias("v")).where("u <> v")
 
 
 class Node:
@@ -285,10 +295,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     texts = keyed.join(small, (F.col("cls") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = stage(texts.select("cls", "text").mapInArrow(_sets, "cls long, size long, tokens binary"), "join-sets")
 
-    prefixes = sets.select("cls", "tokens").mapInArrow(_prefixes, "token long, cls long")
-    heads = prefixes.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head <> last")
-    edges = prefixes.join(heads, "token").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")).distinct()
-    clusters = stage(connected_components(edges).select(F.col("node").alias("cls"), F.col("root").alias("cluster")), "join-clusters")
+    clusters = stage(connected_components(_candidates(sets)).select(F.col("node").alias("cls"), F.col("root").alias("cluster")), "join-clusters")
 
     member = sets.join(clusters, "cls").dropDuplicates(["cls"])
     weights = stage(sets.select("cls", "size").join(clusters, "cls").groupBy("cluster").agg(F.sum("size").alias("w")), "join-weights")
