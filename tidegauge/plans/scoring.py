@@ -26,6 +26,11 @@ RANKED_SQL = f"""{PATHS_SQL}, {REAL_SQL},
              FROM rk GROUP BY 1, 2, 3)"""
 
 
+def off_ties(df: DataFrame) -> DataFrame:
+    """Rounded, after a nudge: shares of a few paths have short decimals that end on a tie."""
+    return rounded(df.select(*[(F.col(c) + 1e-10).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]))
+
+
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, pos, model, crps, pit, breach): one row for each forecast."""
     red = paths.reduced(ensembles.ensemble(spark, sf_dir))
@@ -114,27 +119,28 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ensembles.event_table(spark, sf_dir).join(outcome, ["series_id", "pos", "event_id"])
 
 
-@query(f"WITH {PROB_SQL} SELECT series_id, model, event_id, round(avg((p - y) ** 2), 8) AS brier FROM ev GROUP BY 1, 2, 3")
+@query(f"WITH {PROB_SQL} SELECT series_id, model, event_id, round(avg((p - y) ** 2) + 1e-10, 8) AS brier FROM ev GROUP BY 1, 2, 3")
 def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(forecasts(spark, sf_dir).groupBy(*EV).agg(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("brier")))
+    return off_ties(forecasts(spark, sf_dir).groupBy(*EV).agg(F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2.0))).alias("brier")))
 
 
 @query(f"""WITH {PROB_SQL}, ok AS (SELECT series_id, model, event_id FROM ev GROUP BY 1, 2, 3 HAVING sum(y) >= 10),
     b AS (SELECT *, {BIN_SQL.format("p")} AS bin FROM ev), k AS (SELECT * FROM ok, range(10) t(bin))
-    SELECT k.series_id, k.model, k.event_id, k.bin, count(b.p) AS n, round(avg(b.p), 8) AS forecast, round(avg(b.y), 8) AS observed
+    SELECT k.series_id, k.model, k.event_id, k.bin, count(b.p) AS n, round(avg(b.p) + 1e-10, 8) AS forecast, round(avg(b.y) + 1e-10, 8) AS observed
     FROM k LEFT JOIN b ON b.series_id = k.series_id AND b.model = k.model AND b.event_id = k.event_id AND b.bin = k.bin GROUP BY 1, 2, 3, 4""")
 def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scoring.reliability_bins(forecasts(spark, sf_dir), EV))
+    return off_ties(scoring.reliability_bins(forecasts(spark, sf_dir), EV))
 
 
 @query(f"""WITH {PROB_SQL}, b AS (SELECT *, {BIN_SQL.format("p")} AS bin, avg(y) OVER (PARTITION BY series_id, model, event_id) AS base FROM ev),
     c AS (SELECT series_id, model, event_id, bin, count(*) AS c, avg(p) AS f, avg(y) AS o, any_value(base) AS base, sum((p - y) ** 2) AS se FROM b GROUP BY 1, 2, 3, 4),
     m AS (SELECT series_id, model, event_id, CAST(sum(c) AS BIGINT) AS n, sum(se) / sum(c) AS brier, sum(c * (f - o) ** 2) / sum(c) AS reliability, sum(c * (o - base) ** 2) / sum(c) AS resolution, any_value(base) AS base_rate FROM c GROUP BY 1, 2, 3)
-    SELECT series_id, model, event_id, n, round(brier, 8) AS brier, round(reliability, 8) AS reliability, round(resolution, 8) AS resolution, round(base_rate, 8) AS base_rate,
-           round(base_rate * (1 - base_rate), 8) AS uncertainty, round(brier - (reliability - resolution + base_rate * (1 - base_rate)), 7) + 0 AS binning_error FROM m""")
+    SELECT series_id, model, event_id, n, round(brier + 1e-10, 8) AS brier, round(reliability + 1e-10, 8) AS reliability, round(resolution + 1e-10, 8) AS resolution, round(base_rate + 1e-10, 8) AS base_rate,
+           round(base_rate * (1 - base_rate) + 1e-10, 8) AS uncertainty, round(brier - (reliability - resolution + base_rate * (1 - base_rate)) + 1e-10, 7) + 0 AS binning_error FROM m""")
 def murphy_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scoring.murphy(forecasts(spark, sf_dir), EV, scoring.bin_of(F.col("p")))
-    return rounded(got.withColumn("binning_error", F.round("binning_error", 7) + F.lit(0.0)))
+    error = got.select(*EV, (F.round(F.col("binning_error") + 1e-10, 7) + F.lit(0.0)).alias("binning_error"))
+    return off_ties(got.drop("binning_error")).join(error, EV)
 
 
 D_SQL = f"{RANKED_SQL}, dd AS (SELECT c.series_id, c.pos, c.model, c.crps - b.crps AS d FROM crps c JOIN crps b ON b.series_id = c.series_id AND b.pos = c.pos AND b.model = 0 WHERE c.model > 0)"
@@ -267,12 +273,12 @@ def spa_bootstrap_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.superior_ability(against_benchmark(spark, sf_dir), ["series_id"], DRAWS, BLOCK).select("series_id", "p_consistent", "p_conservative")
 
 
-L_SQL = f"{RANKED_SQL}, nl AS (SELECT series_id, model, crps AS d, row_number() OVER (PARTITION BY series_id, model ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series_id, model) AS n FROM crps)"
+L_SQL = f"{RANKED_SQL}, nl AS (SELECT * FROM (SELECT series_id, model, crps AS d, row_number() OVER (PARTITION BY series_id, model ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY series_id, model) AS n FROM crps) WHERE n > 1)"
 
 
 def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = graded(spark, sf_dir).select(*KEY, F.col("crps").alias("d"))
-    return inference.numbered(got, ["series_id"])
+    return inference.numbered(got, ["series_id"]).where("n > 1")  # one window has no variance to studentise by
 
 
 @query(f"""WITH {L_SQL}, {boot_sql("nl")}, m AS (SELECT series_id, model, avg(d) AS m FROM nl GROUP BY 1, 2), mr AS (SELECT *, m - avg(m) OVER (PARTITION BY series_id) AS rel FROM m),
@@ -331,7 +337,7 @@ def _screen_sql(source: str, by: str) -> str:
         ra AS (SELECT {by}, model, s, sum(c * (o - base) ** 2) / sum(c) AS res FROM ce GROUP BY {by}, model, s),
         nu AS (SELECT {by}, model, avg(res) AS centre, stddev_pop(res) AS spread FROM ra WHERE s > 0 GROUP BY {by}, model),
         zz AS (SELECT ra.*, CASE WHEN spread > 1e-12 THEN (res - centre) / spread ELSE 0 END AS z FROM ra JOIN nu ON {join("nu", "ra", [*keys, "model"])}),
-        tp AS (SELECT {by}, s, max(z) AS top, max_by(model, z) AS best FROM zz GROUP BY {by}, s),
+        tp AS (SELECT {by}, s, max(z) AS top, min_by(model, struct_pack(z := 0.0 - round(z, 9), m := model)) AS best FROM zz GROUP BY {by}, s),
         se AS (SELECT {by}, top AS statistic, best FROM tp WHERE s = 0)
         SELECT {part.format("se")}, round(any_value(statistic), 6) AS statistic, any_value(se.best) AS best, count(*) AS draws,
                (1.0 + count_if(top >= statistic - 1e-12)) / (1.0 + count(*)) AS p_value

@@ -130,9 +130,9 @@ def lens_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BARS_SQL}, {RATE_SQL}, {DUTY_SQL}, {TAX_SQL}, {LENS_SQL}
     SELECT series_id, date, round(price, 6) AS price, round(price_ex_consumption_tax, 6) AS price_ex_consumption_tax,
-           round(base_quote_per_unit, 6) AS base_quote_per_unit, round(fx_rate, 6) AS fx_rate, duty, CAST(consumption_tax AS DOUBLE) AS consumption_tax, confidence FROM lens""")
+           round(base_quote_per_unit, 6) AS base_quote_per_unit, round(fx_rate + 1e-9, 6) AS fx_rate, duty, CAST(consumption_tax AS DOUBLE) AS consumption_tax, confidence FROM lens""")
 def lens_taxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(taxed(spark, sf_dir), 6)
+    return rounded(taxed(spark, sf_dir).withColumn("fx_rate", F.col("fx_rate") + 1e-9), 6)  # off the ties of short decimals
 
 
 PREMIUM_SQL = f"""{BARS_SQL}, {RATE_SQL}, {DUTY_SQL}, {TAX_SQL}, {LENS_SQL}, {OBSERVED_SQL},
