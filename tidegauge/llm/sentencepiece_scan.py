@@ -36,6 +36,7 @@ PENALTY = 10.0
 LOW = -1e300
 WORDS_KEPT = 300_000
 UNITS = re.compile(" +[^ ]*|[^ ]+")
+WORD_STARTS = re.compile("(?<=[^ ]) ")
 
 
 class Pieces:
@@ -69,9 +70,15 @@ class Pieces:
         self.longest = max(map(len, self.score))
         self.by_word = not any(re.search("[^ ] ", p) for p in self.score)
         self.fallback = min(s for s, _ in self.score.values()) - PENALTY
+        from tokenizers.models import Unigram
+
+        #: the same dynamic programme, compiled, for words; number 0 is what no piece covers
+        self.numbers = [0, *(i for _, i in self.score.values())]
+        self.compiled = Unigram([("<unk>", 0.0), *((p, s) for p, (s, _) in self.score.items())], 0)
         #: pieces, and None for what only begins a piece
         self.begins: dict[str, tuple[float, int] | None] = {p[:n]: None for p in self.score for n in range(1, len(p))} | self.score
         self.known: dict[str, bytes] = {}
+        self.scores: dict[str, float] = {}
 
     def steps(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """Pieces that start at a place: length and score."""
@@ -84,7 +91,7 @@ class Pieces:
                 single |= n == 1
                 yield n, found[0]
         if not single:
-            yield 1, self.fallback * len(text[at].encode("utf-8", "surrogatepass"))
+            yield 1, self.fallback
 
     def path(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
         """Ids of the best cut of text[start:end]."""
@@ -107,9 +114,8 @@ class Pieces:
                     if here + found[0] > best[j]:
                         best[j], back[j] = here + found[0], i
             if not single:
-                score = here + self.fallback * len(text[at].encode("utf-8", "surrogatepass"))
-                if score > best[i + 1]:
-                    best[i + 1], back[i + 1] = score, i
+                if here + self.fallback > best[i + 1]:
+                    best[i + 1], back[i + 1] = here + self.fallback, i
         cuts, at = [], end - start
         while at > 0:
             cuts.append((back[at], at))
@@ -123,8 +129,35 @@ class Pieces:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return out
 
+    def parts(self, text: str, n: int) -> tuple[int, int] | None:
+        """Where the first whole word of a chunk starts beyond every entry state, and where its last one does."""
+        starts = [m.start() for m in WORD_STARTS.finditer(text, self.longest - 1, n)] if self.by_word else []
+        return (starts[0], starts[-1]) if starts else None
+
     def matrix(self, text: str, n: int) -> np.ndarray:
-        """Best scores from entry state to exit state of the chunk text[:n]; the rest looks ahead."""
+        """Best scores from entry state to exit state of the chunk text[:n]; the rest looks ahead.
+
+        No piece crosses the start of a word, so between two such places the states meet in one:
+        the matrix is the outer sum of its first and last words' vectors and the words between."""
+        cut = self.parts(text, n)
+        if cut is None:
+            return self.product(text, n)
+        first, last = cut
+        middle = sum(map(self.worth, UNITS.findall(text[first:last])))
+        return self.product(text[:first], first)[:, :1] + middle + self.product(text[last:], n - last)[:1]
+
+    def trace(self, text: str, n: int, entry: int, leave: int) -> bytes:
+        """Ids of the best cut of a chunk between known boundary states."""
+        cut = self.parts(text, n)
+        if cut is None:
+            return np.array(self.path(text, entry, n + leave), "<u4").tobytes()
+        first, last = cut
+        ends = self.path(text, entry, first), self.path(text, last, n + leave)
+        words = b"".join(map(self.remembered, UNITS.findall(text[first:last])))
+        return np.array(ends[0], "<u4").tobytes() + words + np.array(ends[1], "<u4").tobytes()
+
+    def product(self, text: str, n: int) -> np.ndarray:
+        """The matrix of text[:n], character by character."""
         width = self.longest
         best = np.full((n + width, width), LOW)
         best[np.arange(width), np.arange(width)] = 0.0
@@ -136,17 +169,39 @@ class Pieces:
                         np.maximum(best[i + m], row + score, out=best[i + m])
         return best[n : n + width].T.copy()
 
+    def word(self, unit: str) -> bytes:
+        """The best cut of one word with its blanks."""
+        ids: list[int] = []
+        for token in self.compiled.tokenize(unit):
+            if token.id:
+                ids.append(self.numbers[token.id])
+            else:
+                ids += [self.bytes[b] for b in token.value.encode("utf-8", "surrogatepass")]
+        return np.array(ids, "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         text = " " + text
         if not self.by_word:
             return np.array(self.path(text), "<u4").tobytes()
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        units = UNITS.findall(text)
-        for unit in units:
-            if unit not in self.known:
-                self.known[unit] = np.array(self.path(unit), "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, units))
+        return b"".join(map(self.remembered, UNITS.findall(text)))
+
+    def remembered(self, unit: str) -> bytes:
+        ids = self.known.get(unit)
+        if ids is None:
+            if len(self.known) > WORDS_KEPT:
+                self.known.clear()
+            ids = self.known[unit] = self.word(unit)
+        return ids
+
+    def worth(self, unit: str) -> float:
+        """Score of a word's best cut."""
+        score = self.scores.get(unit)
+        if score is None:
+            if len(self.scores) > WORDS_KEPT:
+                self.scores.clear()
+            tokens = self.compiled.tokenize(unit)
+            score = self.scores[unit] = sum(self.score[t.value][0] if t.id else self.fallback * len(t.value) for t in tokens)
+        return score
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
@@ -191,7 +246,7 @@ def _giants(texts: DataFrame, path: str) -> DataFrame:
         pieces = Pieces.of(path)
         for batch in batches:
             parts = (batch[c].to_pylist() for c in ("part", "n", "entry", "leave"))
-            rows = [np.array(pieces.path(t, a, n + b), "<u4").tobytes() for t, n, a, b in zip(*parts, strict=True)]
+            rows = [pieces.trace(t, n, a, b) for t, n, a, b in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["fp"], batch["c"], pa.array(rows, pa.binary())], names=["fp", "c", "ids"])
 
     scored = chunks.mapInArrow(matrices, "fp long, c long, m binary")
