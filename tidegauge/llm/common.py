@@ -67,6 +67,6 @@ def first_of_each(rows: DataFrame, key: str, n: int, salt: int) -> DataFrame:
     that no task sees more of a large key (by bad luck a large key may give a few less than n)."""
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)))
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    near = hashed.join(counts, key).where(F.col("_h") * F.col("_n") <= F.lit(float(2 * n * (1 << 40))))
+    near = hashed.join(counts, key).where(F.col("_h").cast("double") * F.col("_n") <= F.lit(float(2 * n * (1 << 40))))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("_h", "doc_id"))
     return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_h", "_n", "_r")
