@@ -335,6 +335,16 @@ def test_html(spark, none):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_root_holds_every_varying_slot(spark):
+    """A quarter of the text beside the story, and nearly all of it on one page, stays."""
+    page = "<body><div class='top'>Our site</div><section class='intro'><p>{1}</p></section><div class='story'><p>{0}</p><p>more {0}</p></div></body>"
+    rows = [(i, f"http://h/{i}", page.format(f"story{i} " * 30, f"intro{i} " * 15)) for i in range(12)]
+    rows.append((12, "http://h/12", page.format("short", "the main part " * 40)))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"intro{i} intro{i}" in got[i] and f"story{i}" in got[i] and "Our site" not in got[i] for i in range(12))
+    assert got[12].startswith("the main part the main part")
+
+
 def test_simple_tree_matching():
     t = lambda label, *kids: [label, 1, list(kids)]
     a, b = t("body", t("nav"), t("main", t("p")), t("footer")), t("body", t("main", t("p"), t("ul")), t("footer"))

@@ -1,14 +1,13 @@
 """Main text of web pages by wrapper induction.
 
 1. Every page is parsed into a DOM tree, and the tree into its skeleton: labels (tag and classes,
-   digits folded), with equal sisters merged. Equal skeletons of a host stand as one, with the masses
-   of one of their pages.
-2. The skeletons of a host are aligned by simple tree matching and merged into one wrapper tree
-   that carries the text mass of each node. A host's skeletons are merged in parts of bounded
-   size, then the parts' trees; its content root is the article or main node, or else the deepest
-   node that still holds most of the text outside menus, adverts and the like.
-3. Blocks at the same place with the same text in most of a host's different articles are constant
+   digits folded), with equal sisters merged.
+2. Blocks at the same place with the same text in most of a host's different articles are constant
    nodes: template. Slots that vary are content.
+3. The skeletons of a host, each with the varying text of all of its pages as masses, are aligned by
+   simple tree matching and merged into one wrapper tree. A host's skeletons are merged in parts of
+   bounded size, then the parts' trees; its content root is the article or main node, or else the
+   smallest node that holds every varying slot.
 4. Each page is read again with its host's wrapper: blocks under the content root that are
    neither template nor of a kind that is never article text (navigation, forms, comments, ...).
 
@@ -17,7 +16,7 @@ and joined by host (a skewed join, which Spark splits) beyond it.
 
 Defined cases: null html gives an empty text; a null or odd url has the empty host; unclosed and
 cut-off markup is closed at the end; a page without its host's content root is read from the
-body; pages alike in all of their text are one article in 3, so copies never make themselves
+body; pages alike in all of their text are one article in 2, so copies never make themselves
 template; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -38,7 +37,6 @@ from .common import small_batches, stage
 
 MERGED_AT_ONCE = 500  # skeletons
 TEMPLATE_SHARE, TEMPLATE_LEAST = 0.5, 8  # of a host's different articles
-ROOT_SHARE = 0.7  # of the text mass
 BROADCAST_HOSTS = 20_000
 LONGEST_WRAPPER = 2_000  # characters of a wrapper that may be broadcast
 
@@ -222,7 +220,7 @@ def merge(a: list, b: list) -> list:
 
 
 def content_root(tree: list) -> str:
-    """Path of the outermost article or main node, else of the deepest node with most of the mass."""
+    """Path of the outermost article or main node, else of the smallest node that holds all of the mass."""
 
     def mass(t: list) -> int:
         return t[1] + sum(map(mass, t[2]))
@@ -237,8 +235,8 @@ def content_root(tree: list) -> str:
     if mains := [x for x in find_main(tree, "") if x[0] >= 0.2 * total]:
         return max(mains)[1] if len(mains) == 1 else ""
     node, path = tree, ""
-    while node[2] and (big := max(node[2], key=mass)) and mass(big) >= ROOT_SHARE * total and big[2]:
-        node, path = big, f"{path}/{big[0]}"
+    while not node[1] and len(full := [c for c in node[2] if mass(c)]) == 1 and full[0][2]:
+        node, path = full[0], f"{path}/{full[0][0]}"
     return path
 
 
@@ -249,25 +247,37 @@ def _number(text: str) -> int:
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host, skeleton and masses of each page, a number for its text, and numbers of its blocks."""
+    """Host and skeleton of each page, a number for its text, and its blocks: number, place, mass."""
     for batch in batches:
         rows = []
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
             found = blocks(parse(source or ""))
-            tree = skeleton(found)
             whole = _number("\n".join(t for _, t in found))
-            rows.append((host, json.dumps(_shape(tree)), json.dumps(tree), whole, sorted({_number(p + "\n" + t) for p, t in found})))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "shape", "tree", "whole", "blocks"])
+            rows.append((host, json.dumps(_shape(skeleton(found))), whole, [{"block": _number(p + "\n" + t), "place": p, "mass": len(t)} for p, t in found]))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        block = pa.struct([("block", pa.int64()), ("place", pa.string()), ("mass", pa.int64())])
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(block)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "shape", "whole", "blocks"])
+
+
+def weighed(shape: list, masses: dict[str, int], path: str = "") -> list:
+    """A skeleton with the masses of its places."""
+    return [shape[0], masses.get(path, 0), [weighed(c, masses, f"{path}/{c[0]}") for c in shape[2]]]
+
+
+def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = zip(batch["shape"].to_pylist(), batch["masses"].to_pylist(), strict=True)
+        trees = [json.dumps(weighed(json.loads(s), {m["place"]: m["mass"] for m in ms})) for s, ms in both]
+        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(trees, pa.string())], names=["host", "tree"])
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    trees = [json.loads(t) for t in group.sort_values(["n", "tree"], ascending=[False, True])["tree"]]
+    trees = [json.loads(t) for t in group["tree"].sort_values()]
     out = trees[0]
     for t in trees[1:]:
         out = merge(out, t)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [json.dumps(out)], "n": [int(group["n"].sum())]})
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [json.dumps(out)]})
 
 
 def _rooted(group: pd.DataFrame) -> pd.DataFrame:
@@ -275,19 +285,39 @@ def _rooted(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": out["host"], "root": [content_root(json.loads(out["tree"].iloc[0]))]})
 
 
+def _on_hosts(df: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Each row with its host's wrapper; broadcast while that is small."""
+    size = F.coalesce(F.length("root"), F.lit(0)) + 20 * F.greatest(F.size("template"), F.lit(0))
+    sizes = wrappers.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("longest")).first()
+    small = sizes["n"] <= BROADCAST_HOSTS and (sizes["longest"] or 0) <= LONGEST_WRAPPER  # 40 MB at most
+    wrappers = wrappers.withColumnRenamed("host", "h2")
+    return df.join(F.broadcast(wrappers) if small else wrappers, F.col("host") == F.col("h2"), "left").drop("h2")
+
+
+def constants(seen: DataFrame) -> DataFrame:
+    """host, template: the numbers of its constant blocks."""
+    articles = seen.select("host", "whole", F.array_distinct("blocks.block").alias("blocks")).dropDuplicates(["host", "whole"])
+    totals = articles.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    counts = articles.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
+    constant = counts.where(F.col("n") >= TEMPLATE_LEAST).join(totals, "host").where(F.col("n") > TEMPLATE_SHARE * F.col("total"))
+    return constant.groupBy("host").agg(F.collect_list("block").alias("template"))  # under 1/TEMPLATE_SHARE of an article's blocks
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """One wrapper for each host: host, root, and the numbers of its constant blocks."""
-    seen = stage(pages.select("host", "html").mapInArrow(_shapes, "host string, shape string, tree string, whole long, blocks array<long>"), "wrap-pages")
-    shapes = seen.groupBy("host", "shape").agg(F.max_by("tree", F.length("tree")).alias("tree"), F.count(F.lit(1)).alias("n"))
+    kinds = "host string, shape string, whole long, blocks array<struct<block: long, place: string, mass: long>>"
+    seen = stage(pages.select("host", "html").mapInArrow(_shapes, kinds), "wrap-pages")
+    constant = stage(constants(seen), "wrap-constant")
+    known = _on_hosts(seen, constant.withColumn("root", F.lit(""))).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    each = known.select("host", "shape", "template", F.explode_outer("blocks").alias("b"))
+    varying = F.when(F.array_contains("template", F.col("b.block")), 0).otherwise(F.coalesce("b.mass", F.lit(0)))
+    masses = each.groupBy("host", "shape", F.coalesce("b.place", F.lit("")).alias("place")).agg(F.sum(varying).alias("mass"))
+    shapes = masses.groupBy("host", "shape").agg(F.collect_list(F.struct("place", "mass")).alias("masses"))
+    trees = shapes.mapInArrow(_weighed, "host string, tree string")
     parts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / MERGED_AT_ONCE).alias("parts"))
-    dealt = shapes.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("parts"))).select("host", "part", "tree", "n")
-    merged = dealt.groupBy("host", "part").applyInPandas(_merged, "host string, tree string, n long")
+    dealt = trees.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.col("parts"))).select("host", "part", "tree")
+    merged = dealt.groupBy("host", "part").applyInPandas(_merged, "host string, tree string")
     roots = merged.groupBy("host").applyInPandas(_rooted, "host string, root string")
-    articles = seen.select("host", "whole", "blocks").dropDuplicates(["host", "whole"])
-    totals = articles.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = articles.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
-    constant = counts.where(F.col("n") >= TEMPLATE_LEAST).join(totals, "host").where(F.col("n") > TEMPLATE_SHARE * F.col("total"))
-    constant = constant.groupBy("host").agg(F.collect_list("block").alias("template"))  # under 1/TEMPLATE_SHARE of an article's blocks
     return stage(roots.join(constant, "host", "left"), "wrappers")
 
 
@@ -314,8 +344,5 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    wrappers = induce(hosted).select(F.col("host").alias("h2"), "root", "template")
-    sizes = wrappers.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("root") + 20 * F.greatest(F.size("template"), F.lit(0))).alias("longest")).first()
-    small = sizes["n"] <= BROADCAST_HOSTS and (sizes["longest"] or 0) <= LONGEST_WRAPPER  # 40 MB at most
-    joined = hosted.join(F.broadcast(wrappers) if small else wrappers, F.col("host") == F.col("h2"), "left")
+    joined = _on_hosts(hosted, induce(hosted))
     return joined.select("page_id", "url", "html", "root", "template").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
