@@ -345,6 +345,25 @@ def test_html_root_holds_every_varying_slot(spark):
     assert got[12].startswith("the main part the main part")
 
 
+def test_html_marks_do_not_empty_pages(spark):
+    forms = {
+        "body": "<body class='has-sidebar'><div class='sidebar-left'>side {0}</div><article>{1}</article></body>",
+        "wrap": "<body><div class='elementor-widget'><main>{1}</main><section class='comments'><article>c {0}</article></section></div></body>",
+        "post": "<body><article class='post comments-open'>{1}<div class='related'>other {0}</div></article></body>",
+        "board": "<body><div class='top'>date {0}</div><div id='notice-board'>{1}</div><div class='comments'>c {0}</div></body>",
+        "only": "<body><div id='notice-board'>{1}</div></body>",
+    }
+    rows = [(f"{k}{i}", f"http://{k}/{i}", f.format(i, f"<p>words of {k} {i}</p><p>and then number {i}</p>")) for k, f in forms.items() for i in range(10)]
+    df = spark.createDataFrame(rows, "page string, url string, html string").withColumn("page_id", F.monotonically_increasing_id())
+    got = {r["url"]: r["text"] for r in html_extract.extract(df).collect()}
+    for k in forms:
+        for i in range(10):
+            want = f"words of {k} {i}\nand then number {i}"
+            assert got[f"http://{k}/{i}"] == (f"date {i}\n{want}" if k == "board" else want)
+    assert html_extract.extract_text("<article></article><div class='ad'>buy</div>", "", frozenset(), set()) == ""
+    assert html_extract.extract_text("<div></div><div class='notice'>the story</div>", "", frozenset(), set()) == "the story"
+
+
 def test_simple_tree_matching():
     t = lambda label, *kids: [label, 1, list(kids)]
     a, b = t("body", t("nav"), t("main", t("p")), t("footer")), t("body", t("main", t("p"), t("ul")), t("footer"))

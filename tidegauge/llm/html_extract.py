@@ -9,14 +9,17 @@
    bounded size, then the parts' trees; its content root is the article or main node, or else the
    smallest node that holds every varying slot.
 4. Each page is read again with its host's wrapper: blocks under the content root that are
-   neither template nor of a kind that is never article text (navigation, forms, comments, ...).
+   neither template nor of a kind that is never article text (navigation, forms, scripts, ...).
+5. Classes, ids and roles that are mostly found on adverts, comments and the like only mark a node.
+   A mark does not hold for html, body, article, main and what encloses a page's article or main,
+   nor where the varying text under it outweighs the host's varying text under no mark.
 
 All pages count in 1 to 3. Wrappers are broadcast while their number is under a checked bound,
 and joined by host (a skewed join, which Spark splits) beyond it.
 
 Defined cases: null html gives an empty text; a null or odd url has the empty host; unclosed and
 cut-off markup is closed at the end; a page without its host's content root is read from the
-body; pages alike in all of their text are one article in 2, so copies never make themselves
+body; one without article or main whose text is all marked is read without the marks; pages alike in all of their text are one article in 2, so copies never make themselves
 template; repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -58,13 +61,15 @@ ODD = set(
 )
 ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 MAIN = {"article", "main"}
+UNMARKED = MAIN | {"html", "body"}
+MARK = "!"  # ends the label of a marked node
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "children", "odd")
+    __slots__ = ("tag", "label", "parent", "children", "odd", "marked")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, odd: bool) -> None:
-        self.tag, self.label, self.parent, self.odd = tag, label, parent, odd
+    def __init__(self, tag: str, label: str, parent: Element | None, odd: bool, marked: bool) -> None:
+        self.tag, self.label, self.parent, self.odd, self.marked = tag, label + MARK * marked, parent, odd, marked
         self.children: list[Element | str] = []
 
 
@@ -73,18 +78,17 @@ def _element(tag: str, rest: str, parent: Element) -> Element:
     names = re.findall(r"[a-z#]+", re.sub(r"\d+", "#", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
     odd = (
         tag in NEVER
-        or bool(ODD.intersection(names))
-        or attrs.get("role", "").lower() in ROLES
         or "hidden" in attrs
         or attrs.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none", attrs.get("style", "").lower()) is not None
     )
-    return Element(tag, ".".join([tag, *sorted(set(names))[:4]]), parent, odd)
+    marked = tag not in UNMARKED and (bool(ODD.intersection(names)) or attrs.get("role", "").lower() in ROLES)
+    return Element(tag, ".".join([tag, *sorted(set(names))[:4]]), parent, odd, marked)
 
 
 def parse(source: str) -> Element:
     """A DOM tree, close to how browsers repair one."""
-    top = Element("#", "#", None, False)
+    top = Element("#", "#", None, False, False)
     now, at = top, 0
     while m := TOKEN.search(source, at):
         if m.start() > at:
@@ -119,15 +123,41 @@ def parse(source: str) -> Element:
             now = node
     if at < len(source):
         now.children.append(source[at:])
+    _unmark(top)
     return top
 
 
+def _unmark(top: Element) -> None:
+    """Takes the marks off what encloses a page's only article or main nodes."""
+
+    def reach(scope: Element, through: bool) -> tuple[bool, list[Element]]:
+        todo, marked = [c for c in scope.children if not isinstance(c, str)], []
+        while todo:
+            node = todo.pop()
+            if node.odd:
+                continue
+            if node.tag in MAIN:
+                return True, []
+            if node.marked and not through:
+                marked.append(node)
+            else:
+                todo += [c for c in node.children if not isinstance(c, str)]
+        return False, marked
+
+    scopes = [top]
+    while scopes:
+        for node in reach(scopes.pop(), False)[1]:
+            if reach(node, True)[0]:
+                node.marked, node.label = False, node.label.removesuffix(MARK)
+                scopes.append(node)
+
+
 def _dropped(node: Element, inside_main: bool) -> bool:
     return node.odd or (node.tag == "header" and not inside_main) or node.tag in RAW
 
 
-def blocks(top: Element, root: str | None = None, clean: bool = True) -> list[tuple[str, str]]:
-    """(label path, text) of each block in page order, outside what is never article text."""
+def blocks(top: Element, root: str | None = None, kept: frozenset[str] | None = frozenset()) -> list[tuple[str, str]]:
+    """(label path, text) of each block in page order, outside what is never article text and marked nodes but those kept (None: all)."""
     out: list[tuple[str, str]] = []
     text: list[str] = []
     where = [""]
@@ -149,15 +179,14 @@ def blocks(top: Element, root: str | None = None, clean: bool = True) -> list[tu
         if node is None:
             flush()
             continue
-        if clean and _dropped(node, main):
+        if _dropped(node, main) or (node.marked and kept is not None and f"{path}/{node.label}" not in kept):
             if node.tag in BLOCK:
                 flush()
             continue
         if node.tag == "br":
             text.append(" ")
             continue
-        block = node.tag in BLOCK
-        if block:
+        if node.tag in BLOCK or node.marked:
             flush()
             path = f"{path}/{node.label}"
             todo.append((None, "", False))
@@ -219,23 +248,47 @@ def merge(a: list, b: list) -> list:
     return [a[0], a[1] + b[1], out[::-1]]
 
 
+def _mass(tree: list) -> int:
+    return tree[1] + sum(map(_mass, tree[2]))
+
+
+def kept_marks(tree: list) -> list[str]:
+    """Paths of the marked nodes whose mass outweighs that under no mark."""
+
+    def plain(t: list) -> int:
+        return 0 if t[0].endswith(MARK) else t[1] + sum(map(plain, t[2]))
+
+    out, least, todo = set(), plain(tree), [(tree, "")]
+    while todo:
+        node, path = todo.pop()
+        if node[0].endswith(MARK):
+            if _mass(node) <= least:
+                continue
+            out.add(path)
+        todo += [(c, f"{path}/{c[0]}") for c in node[2]]
+    return sorted(out)
+
+
+def without_marks(tree: list, kept: set[str], path: str = "") -> list:
+    """The tree without marked nodes but those kept."""
+    paths = [(c, f"{path}/{c[0]}") for c in tree[2]]
+    return [tree[0], tree[1], [without_marks(c, kept, p) for c, p in paths if not c[0].endswith(MARK) or p in kept]]
+
+
 def content_root(tree: list) -> str:
     """Path of the outermost article or main node, else of the smallest node that holds all of the mass."""
 
-    def mass(t: list) -> int:
-        return t[1] + sum(map(mass, t[2]))
-
     def find_main(t: list, path: str) -> list[tuple[int, str]]:
         here = f"{path}/{t[0]}" if t[0] else path
         if t[0].split(".")[0] in MAIN:
-            return [(mass(t), here)]
+            return [(_mass(t), here)]
         return [x for c in t[2] for x in find_main(c, here)]
 
-    total = max(1, mass(tree))
+    total = max(1, _mass(tree))
     if mains := [x for x in find_main(tree, "") if x[0] >= 0.2 * total]:
         return max(mains)[1] if len(mains) == 1 else ""
     node, path = tree, ""
-    while not node[1] and len(full := [c for c in node[2] if mass(c)]) == 1 and full[0][2]:
+    while not node[1] and len(full := [c for c in node[2] if _mass(c)]) == 1 and full[0][2]:
         node, path = full[0], f"{path}/{full[0][0]}"
     return path
 
@@ -251,8 +304,11 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            found = blocks(parse(source or ""))
-            whole = _number("\n".join(t for _, t in found))
+            top = parse(source or "")
+            found = blocks(top)
+            marked = [x for x in blocks(top, kept=None) if MARK in x[0]]
+            whole = _number("\n".join(t for _, t in found or marked))
+            found += marked
             rows.append((host, json.dumps(_shape(skeleton(found))), whole, [{"block": _number(p + "\n" + t), "place": p, "mass": len(t)} for p, t in found]))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         block = pa.struct([("block", pa.int64()), ("place", pa.string()), ("mass", pa.int64())])
@@ -282,12 +338,14 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
 
 def _rooted(group: pd.DataFrame) -> pd.DataFrame:
     out = _merged(group)
-    return pd.DataFrame({"host": out["host"], "root": [content_root(json.loads(out["tree"].iloc[0]))]})
+    tree = json.loads(out["tree"].iloc[0])
+    kept = kept_marks(tree)
+    return pd.DataFrame({"host": out["host"], "root": [content_root(without_marks(tree, set(kept)))], "kept": [kept]})
 
 
 def _on_hosts(df: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Each row with its host's wrapper; broadcast while that is small."""
-    size = F.coalesce(F.length("root"), F.lit(0)) + 20 * F.greatest(F.size("template"), F.lit(0))
+    size = F.coalesce(F.length(F.concat("root", F.array_join("kept", " "))), F.lit(0)) + 20 * F.greatest(F.size("template"), F.lit(0))
     sizes = wrappers.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("longest")).first()
     small = sizes["n"] <= BROADCAST_HOSTS and (sizes["longest"] or 0) <= LONGEST_WRAPPER  # 40 MB at most
     wrappers = wrappers.withColumnRenamed("host", "h2")
@@ -304,11 +362,11 @@ def constants(seen: DataFrame) -> DataFrame:
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """One wrapper for each host: host, root, and the numbers of its constant blocks."""
+    """One wrapper for each host: host, root, marked nodes that are content, and the numbers of its constant blocks."""
     kinds = "host string, shape string, whole long, blocks array<struct<block: long, place: string, mass: long>>"
     seen = stage(pages.select("host", "html").mapInArrow(_shapes, kinds), "wrap-pages")
     constant = stage(constants(seen), "wrap-constant")
-    known = _on_hosts(seen, constant.withColumn("root", F.lit(""))).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    known = _on_hosts(seen, constant.withColumns({"root": F.lit(""), "kept": F.array().cast("array<string>")})).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
     each = known.select("host", "shape", "template", F.explode_outer("blocks").alias("b"))
     varying = F.when(F.array_contains("template", F.col("b.block")), 0).otherwise(F.coalesce("b.mass", F.lit(0)))
     masses = each.groupBy("host", "shape", F.coalesce("b.place", F.lit("")).alias("place")).agg(F.sum(varying).alias("mass"))
@@ -317,24 +375,24 @@ def induce(pages: DataFrame) -> DataFrame:
     parts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / MERGED_AT_ONCE).alias("parts"))
     dealt = trees.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.col("parts"))).select("host", "part", "tree")
     merged = dealt.groupBy("host", "part").applyInPandas(_merged, "host string, tree string")
-    roots = merged.groupBy("host").applyInPandas(_rooted, "host string, root string")
+    roots = merged.groupBy("host").applyInPandas(_rooted, "host string, root string, kept array<string>")
     return stage(roots.join(constant, "host", "left"), "wrappers")
 
 
-def extract_text(source: str | None, root: str | None, template: set[int]) -> str:
+def extract_text(source: str | None, root: str | None, kept: frozenset[str], template: set[int]) -> str:
     """The main text of one page under its host's wrapper."""
     top = parse(source or "")
-    found = blocks(top, root or None)
-    if not found and root:
-        found = blocks(top)
+    found = blocks(top, root or None, kept) or (root and blocks(top, kept=kept))
+    if not found and not re.search(r"<(?:article|main)\b", source or "", re.I):
+        found = blocks(top, kept=None)
     mains = [x for x in found if any(label.split(".")[0] in MAIN for label in x[0].split("/"))]
     return "\n".join(t for p, t in (mains or found) if _number(p + "\n" + t) not in template)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = (batch[c].to_pylist() for c in ("html", "root", "template"))
-        texts = [extract_text(h, r, set(t or ())) for h, r, t in zip(*parts, strict=True)]
+        parts = (batch[c].to_pylist() for c in ("html", "root", "kept", "template"))
+        texts = [extract_text(h, r, frozenset(k or ()), set(t or ())) for h, r, k, t in zip(*parts, strict=True)]
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
@@ -345,4 +403,4 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     hosted = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     joined = _on_hosts(hosted, induce(hosted))
-    return joined.select("page_id", "url", "html", "root", "template").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "root", "kept", "template").mapInArrow(_read, "page_id long, url string, text string, n_chars long")
