@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidegauge.functions import stats
-from tidegauge.plans import scoring
+from tidegauge.plans import scoring, volatility
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +18,24 @@ def test_poisson_binomial_tail_of_every_forecast(spark):
         assert got[s]["seen"] == seen
         assert got[s]["at_least"] == pytest.approx(pmf[seen:].sum(), abs=1e-8)
         assert got[s]["at_most"] == pytest.approx(pmf[: seen + 1].sum(), abs=1e-8)
+
+
+def test_gjr_runs_to_the_last_return(spark):
+    omega, alpha, gamma, beta = volatility.THETA
+    series = volatility.log_r(spark, SF).where("r IS NOT NULL").toPandas().sort_values("date").groupby("series_id")["r"].apply(list)
+    path = {(r["series_id"], r["i"]): r["v"] for r in volatility.gjr_fixed_theta_path_all(spark, SF).collect()}
+    nll = {r["series_id"]: r["nll"] for r in volatility.gjr_fixed_theta_nll_all(spark, SF).collect()}
+    ahead = {(r["series_id"], r["h"]): r["sigma"] for r in volatility.gjr_forward_sigma_all(spark, SF).collect()}
+    assert max(map(len, series)) > 250
+    assert len(path) == sum(len(e) + 1 for e in series)
+    for s, e in series.items():
+        v, total = float(np.var(e)), 0.0
+        for i, x in enumerate(e, 1):
+            assert path[s, i] == pytest.approx(v, abs=2e-9)
+            total += 0.5 * (np.log(2 * np.pi) + np.log(v) + x * x / v)
+            v = omega + (alpha + gamma * (x < 0)) * x * x + beta * v
+        assert path[s, len(e) + 1] == pytest.approx(v, abs=2e-9)
+        assert nll[s] == pytest.approx(total, abs=1e-5)
+        for h in range(1, 22):
+            assert ahead[s, h] == pytest.approx(np.sqrt(v), abs=1e-7)
+            v = omega + (alpha + gamma / 2 + beta) * v

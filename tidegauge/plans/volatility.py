@@ -112,37 +112,76 @@ GJR_SQL = f"""{BARS_SQL}, {RET_SQL}, k AS (SELECT series_id, date, r, row_number
           FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i)"""
 
 
-def _gjr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, eps, v): the first 250 returns by series and the variances under a fixed theta."""
-    numbered = log_r(spark, sf_dir).withColumn("i", F.row_number().over(returns.in_order(BY))).where("i <= 250")
+GJR_ALL_SQL = GJR_SQL.replace(" WHERE i <= 250", "")
+
+
+def _gjr(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """(series_id, eps, v): the returns by series, or the first so many, and the variances under a fixed theta."""
+    numbered = log_r(spark, sf_dir).withColumn("i", F.row_number().over(returns.in_order(BY)))
+    numbered = numbered if first is None else numbered.where(F.col("i") <= first)
     packed = numbered.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("eps"), F.var_pop("r").alias("v0"))
     return packed.withColumn("v", volatility.gjr_variances(F.col("eps"), *THETA, F.col("v0")))
 
 
+def _variances(gjr: DataFrame) -> DataFrame:
+    got = gjr.select("series_id", F.posexplode("v").alias("i", "v"))
+    return got.select("series_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 9).alias("v"))
+
+
 @query(f"WITH RECURSIVE {GJR_SQL} SELECT series_id, i, round(v, 9) AS v FROM g")
 def gjr_fixed_theta_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _gjr(spark, sf_dir).select("series_id", F.posexplode("v").alias("i", "v"))
-    return got.select("series_id", (F.col("i") + 1).cast("long").alias("i"), F.round("v", 9).alias("v"))
+    """On the first 250 returns of each series, as its SQL; gjr_fixed_theta_path_all takes all of them."""
+    return _variances(_gjr(spark, sf_dir, 250))
+
+
+@query(f"WITH RECURSIVE {GJR_ALL_SQL} SELECT series_id, i, round(v, 9) AS v FROM g")
+def gjr_fixed_theta_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On every return of each series."""
+    return _variances(_gjr(spark, sf_dir))
+
+
+def _likelihood(gjr: DataFrame) -> DataFrame:
+    each = gjr.select("series_id", F.explode(F.arrays_zip("eps", "v")).alias("x")).where("x.eps IS NOT NULL")
+    e, v = F.col("x.eps"), F.col("x.v")
+    return rounded(each.groupBy("series_id").agg(F.sum(0.5 * (math.log(2 * math.pi) + F.ln(v) + e * e / v)).alias("nll")), 6)
 
 
 @query(f"""WITH RECURSIVE {GJR_SQL} SELECT g.series_id, round(sum(0.5 * ({math.log(2 * math.pi)!r} + ln(g.v) + e.e * e.e / g.v)), 6) AS nll
     FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i GROUP BY 1""")
 def gjr_fixed_theta_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _gjr(spark, sf_dir).select("series_id", F.explode(F.arrays_zip("eps", "v")).alias("x")).where("x.eps IS NOT NULL")
-    e, v = F.col("x.eps"), F.col("x.v")
-    return rounded(each.groupBy("series_id").agg(F.sum(0.5 * (math.log(2 * math.pi) + F.ln(v) + e * e / v)).alias("nll")), 6)
+    """On the first 250 returns of each series, as its SQL; gjr_fixed_theta_nll_all takes all of them."""
+    return _likelihood(_gjr(spark, sf_dir, 250))
+
+
+@query(f"""WITH RECURSIVE {GJR_ALL_SQL} SELECT g.series_id, round(sum(0.5 * ({math.log(2 * math.pi)!r} + ln(g.v) + e.e * e.e / g.v)), 6) AS nll
+    FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i GROUP BY 1""")
+def gjr_fixed_theta_nll_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On every return of each series."""
+    return _likelihood(_gjr(spark, sf_dir))
 
 
 _P = THETA[1] + THETA[2] / 2 + THETA[3]
 _LEVEL = THETA[0] / (1 - _P)
 
 
+def _forward(gjr: DataFrame) -> DataFrame:
+    last = gjr.select("series_id", F.element_at("v", -1).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(21))).alias("h"))
+    sigma = F.sqrt(_LEVEL + F.pow(F.lit(_P), F.col("h") - 1) * (F.col("v") - _LEVEL))
+    return last.select("series_id", F.col("h").cast("long").alias("h"), F.round(sigma, 8).alias("sigma"))
+
+
 @query(f"""WITH RECURSIVE {GJR_SQL}, l AS (SELECT series_id, max_by(v, i) AS v FROM g GROUP BY 1)
     SELECT series_id, h, round(sqrt({_LEVEL!r} + pow({_P!r}, h - 1) * (v - {_LEVEL!r})), 8) AS sigma FROM l, range(1, 22) t(h)""")
 def gjr_forward_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = _gjr(spark, sf_dir).select("series_id", F.element_at("v", -1).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(21))).alias("h"))
-    sigma = F.sqrt(_LEVEL + F.pow(F.lit(_P), F.col("h") - 1) * (F.col("v") - _LEVEL))
-    return last.select("series_id", F.col("h").cast("long").alias("h"), F.round(sigma, 8).alias("sigma"))
+    """On the first 250 returns of each series, as its SQL; gjr_forward_sigma_all takes all of them."""
+    return _forward(_gjr(spark, sf_dir, 250))
+
+
+@query(f"""WITH RECURSIVE {GJR_ALL_SQL}, l AS (SELECT series_id, max_by(v, i) AS v FROM g GROUP BY 1)
+    SELECT series_id, h, round(sqrt({_LEVEL!r} + pow({_P!r}, h - 1) * (v - {_LEVEL!r})), 8) AS sigma FROM l, range(1, 22) t(h)""")
+def gjr_forward_sigma_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On every return of each series."""
+    return _forward(_gjr(spark, sf_dir))
 
 
 @query()
