@@ -1,10 +1,12 @@
 """Queries act on whole series, not on a prefix of them."""
 
+import json
+
 import numpy as np
 import pytest
 
 from tidegauge.functions import stats
-from tidegauge.plans import scoring, volatility
+from tidegauge.plans import backtests, ensembles, scoring, volatility
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,22 @@ def test_gjr_runs_to_the_last_return(spark):
         for h in range(1, 22):
             assert ahead[s, h] == pytest.approx(np.sqrt(v), abs=1e-7)
             v = omega + (alpha + gamma / 2 + beta) * v
+
+
+def test_forecast_artifact_is_of_the_latest_date(spark):
+    got = {(r["series_id"], r["model"]): json.loads(r["artifact"]) for r in backtests.forecast_artifact(spark, SF).collect()}
+    want = {(r["series_id"], r["model"]): r for r in backtests.forecast_block(spark, SF).collect()}
+    assert got.keys() == want.keys()
+    for k, a in got.items():
+        assert round(a["quantiles"]["q50"], 4) == want[k]["q50"]
+
+
+def test_every_asof_date_has_rows(spark):
+    want = {(r["series_id"], r["pos"]) for r in ensembles.at(spark, SF).select("series_id", "pos").collect()}
+    assert len({pos for _, pos in want}) > 1
+    for query in (ensembles.bootstrap_shocks_all, ensembles.session_limit_paths_all, ensembles.composed_fx_paths_all):
+        assert {(r["series_id"], r["pos"]) for r in query(spark, SF).select("series_id", "pos").distinct().collect()} == want
+
+
+def test_walk_forward_steps_five_sessions():
+    assert (backtests.REQUEST.step, backtests.REQUEST.n_paths) == (5, 4000)

@@ -16,7 +16,7 @@ from .registry import query
 from .series import rounded
 
 BY = ["series_id"]
-REQUEST = Request(horizons=(5, 21), step=250, first=500, n_paths=2000)
+REQUEST = Request(horizons=(5, 21), step=5, first=500, n_paths=4000)
 
 
 def main_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,13 @@ def walkforward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def walkforward_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walkforward.calibration(walkforward.walk_forward(main_series(spark, sf_dir), BY, ["random_walk"], Request(step=50, n_paths=1000)), BY, "random_walk")
+    return walkforward.calibration(walkforward.walk_forward(main_series(spark, sf_dir), BY, ["random_walk"], Request(step=5)), BY, "random_walk")
+
+
+def latest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ensembles.ensemble(spark, sf_dir)
+    last = ensembles.at(spark, sf_dir).groupBy("series_id").agg(F.max("pos").alias("pos"))
+    return forecast.forecast_blocks(e.join(last, ["series_id", "pos"]).drop("pos"), ["series_id", "model"])
 
 
 def _share(condition: str) -> str:
@@ -44,9 +50,7 @@ def _share(condition: str) -> str:
     FROM red r JOIN l ON l.series_id = r.series_id AND l.pos = r.pos GROUP BY 1, 2""")
 def forecast_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published blocks of the latest as-of date, flattened to a few of their fields."""
-    e = ensembles.ensemble(spark, sf_dir)
-    last = ensembles.at(spark, sf_dir).groupBy("series_id").agg(F.max("pos").alias("pos"))
-    b = forecast.forecast_blocks(e.join(last, ["series_id", "pos"]).drop("pos"), ["series_id", "model"])
+    b = latest_blocks(spark, sf_dir)
     up = F.filter("exceedance", lambda c: c["move"] == 0.02)[0]["terminal"]
     return b.select(
         "series_id", "model", F.round("quantiles.q50", 4).alias("q50"), F.round("adverse_move.touch", 8).alias("adverse_touch"), F.round(up, 8).alias("up2"), F.col("n_paths").cast("long").alias("n_paths")
@@ -55,8 +59,8 @@ def forecast_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forecast_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = ensembles.ensemble(spark, sf_dir).where("pos = 250").drop("pos")
-    return forecast.as_json(forecast.forecast_blocks(e, ["series_id", "model"]), ["series_id", "model"])
+    """The artifact of each series' latest as-of date."""
+    return forecast.as_json(latest_blocks(spark, sf_dir), ["series_id", "model"])
 
 
 _U = " + ".join(

@@ -188,7 +188,7 @@ def gjr_forward_sigma_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gjr_fit_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GJR-t fits on expanding windows, a task for each as-of date; the history reaches a task once, as one array."""
     r = log_r(spark, sf_dir).withColumn("pos", F.row_number().over(returns.in_order(BY)))
-    ends = r.where("pos >= 500 AND pos % 500 = 0").select("series_id", F.col("pos").alias("asof"))
+    ends = r.where("pos >= 500 AND pos % 5 = 0").select("series_id", F.col("pos").alias("asof"))
     windows = r.join(F.broadcast(ends), "series_id").where("pos <= asof").select("series_id", "asof", "date", "r")
     return volatility.gjr_fit_groups(windows, ["series_id", "asof"])
 
