@@ -364,6 +364,17 @@ def test_html_marks_do_not_empty_pages(spark):
     assert html_extract.extract_text("<div></div><div class='notice'>the story</div>", "", frozenset(), set()) == "the story"
 
 
+def test_html_template_of_few_pages_and_of_near_copies(spark):
+    page = "<body><div class='top'>Welcome to our site</div><div class='text'><p>{0}</p><p>{1}</p></div></body>"
+    rows = [(i, f"http://few/{i}", page.format(f"story {i} " * 20, f"end {i} " * 9)) for i in range(2)]
+    rows += [(10 + i, f"http://near/{i}", page.format("the same story " * 40, f"on day {i}")) for i in range(12)]
+    rows += [(30 + i, f"http://near/x{i}", page.format(f"story {i} " * 20, f"end {i} " * 9)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert not any("Welcome" in t for t in got.values())
+    assert got[0].startswith("story 0") and got[31].startswith("story 1")
+    assert all(got[10 + i].startswith("the same story") and got[10 + i].endswith(f"on day {i}") for i in range(12))
+
+
 def test_simple_tree_matching():
     t = lambda label, *kids: [label, 1, list(kids)]
     a, b = t("body", t("nav"), t("main", t("p")), t("footer")), t("body", t("main", t("p"), t("ul")), t("footer"))

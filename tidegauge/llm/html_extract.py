@@ -2,8 +2,9 @@
 
 1. Every page is parsed into a DOM tree, and the tree into its skeleton: labels (tag and classes,
    digits folded), with equal sisters merged.
-2. Blocks at the same place with the same text in most of a host's different articles are constant
-   nodes: template. Slots that vary are content.
+2. Blocks at the same place with the same text in most of a host's different articles (in all of
+   them on hosts of a few) are constant nodes: template. Slots that vary are content. Near-copies,
+   pages that differ in under a fifth of their text, are one article.
 3. The skeletons of a host, each with the varying text of all of its pages as masses, are aligned by
    simple tree matching and merged into one wrapper tree. A host's skeletons are merged in parts of
    bounded size, then the parts' trees; its content root is the article or main node, or else the
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 
 MERGED_AT_ONCE = 500  # skeletons
-TEMPLATE_SHARE, TEMPLATE_LEAST = 0.5, 8  # of a host's different articles
+TEMPLATE_SHARE, FEW = 0.5, 8  # of a host's different articles; all of them where they are few, from two on
+NEAR_SHARE = 0.2  # of a page's text: near-copies differ in less
 BROADCAST_HOSTS = 20_000
 LONGEST_WRAPPER = 2_000  # characters of a wrapper that may be broadcast
 
@@ -352,15 +354,32 @@ def _on_hosts(df: DataFrame, wrappers: DataFrame) -> DataFrame:
     return df.join(F.broadcast(wrappers) if small else wrappers, F.col("host") == F.col("h2"), "left").drop("h2")
 
 
-def constants(seen: DataFrame) -> DataFrame:
-    """host, template: the numbers of its constant blocks."""
-    articles = seen.select("host", "whole", F.array_distinct("blocks.block").alias("blocks")).dropDuplicates(["host", "whole"])
+def _frequent(articles: DataFrame) -> DataFrame:
+    """host, template: blocks in most of a host's articles (host, blocks), or in all of a few."""
     totals = articles.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counts = articles.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count(F.lit(1)).alias("n"))
-    constant = counts.where(F.col("n") >= TEMPLATE_LEAST).join(totals, "host").where(F.col("n") > TEMPLATE_SHARE * F.col("total"))
+    least = F.when(F.col("total") < FEW, F.col("n") == F.col("total")).otherwise(F.col("n") > TEMPLATE_SHARE * F.col("total"))
+    constant = counts.where(F.col("n") > 1).join(totals, "host").where(least)
     return constant.groupBy("host").agg(F.collect_list("block").alias("template"))  # under 1/TEMPLATE_SHARE of an article's blocks
 
 
+def constants(seen: DataFrame) -> DataFrame:
+    """host, template: the numbers of its constant blocks, near-copies counted once.
+
+    A page is known by its text, or, where all but a little of its text is frequent, by its frequent blocks."""
+    pages = seen.dropDuplicates(["host", "whole"])
+    first = stage(_frequent(pages.select("host", F.array_distinct("blocks.block").alias("blocks"))), "wrap-frequent")
+    known = _on_hosts(pages, first.withColumns({"root": F.lit(""), "kept": F.array().cast("array<string>")}))
+    known = known.withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    mass = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + b["mass"])
+    rare = F.filter("blocks", lambda b: ~F.array_contains("template", b["block"]))
+    shared = F.array_sort(F.array_intersect("template", F.array_distinct("blocks.block")))
+    near = mass(rare) < NEAR_SHARE * mass(F.col("blocks"))
+    known = known.withColumn("article", F.when(near, F.xxhash64(shared)).otherwise(F.col("whole")))
+    articles = known.select("host", "article", F.array_distinct("blocks.block").alias("blocks")).groupBy("host", "article").agg(F.min("blocks").alias("blocks"))
+    return _frequent(articles)
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """One wrapper for each host: host, root, marked nodes that are content, and the numbers of its constant blocks."""
     kinds = "host string, shape string, whole long, blocks array<struct<block: long, place: string, mass: long>>"
