@@ -274,6 +274,15 @@ def test_pii_patterns_find_new_identifiers(spark):
     assert got[50] == "" and got[51] == "phone:4:21"
 
 
+def test_pii_new_identifiers_induce_patterns(spark):
+    tel = [f"call tel: +1 (988) 555-24{i:02d} today" for i in range(8)] + [f"call tel: X-{i}9Z today" for i in range(3)]
+    rows = list(enumerate([*tel, *[f"his member-no: X-{i}9Z stands" for i in range(3)], "her member-no: M-77Q stands", "a room B-12C here"]))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[8] == "id:10:15" and got[11] == "id:15:20"
+    assert got[14] == "id:15:20"  # known only by the pattern that X-09Z and its like induced
+    assert got[15] == ""
+
+
 def test_pii_mask(docs):
     got = {r["doc_id"]: r for r in pii.mask(docs).collect()}
     assert got[14]["text"] == "É é ▁ 日本語 😀 mail [EMAIL] +1 (988) 555-2485 [IP] 4111 1111 1111 1111"

@@ -5,6 +5,7 @@ word before a seed induces a lexical pattern. Identifier-like words (with a digi
 the patterns before them form a graph, scored in rounds: a pattern is worth the confidence of
 what it introduces over *all* its occurrences in the corpus, so an everyday word that seeds
 happen to follow is worth next to nothing; an identifier is worth the noisy-or of its patterns.
+Identifiers trusted so far induce patterns as seeds do, until a round adds no pattern.
 Identifiers introduced by a pattern of high worth are reported as kind ``id``. Seeds stay.
 
 Positions are code points, found by cutting the text at the matches and adding up lengths. The
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-ROUNDS = 3
-MIN_SEEDS = 3  # distinct seeds that must follow a pattern
+ROUNDS = 3  # at least; then until no pattern is added
+MIN_SEEDS = 3  # distinct seeds or trusted identifiers that must follow a pattern
 SHORTEST = 4  # characters of a new identifier
 WORTH = 0.5  # of a pattern, to introduce new identifiers
 KINDS = ["email", "ip", "card", "phone", "id"]
@@ -99,23 +100,26 @@ def _candidates(text: Column) -> Column:
 
 
 def _patterns(edges: DataFrame, words: DataFrame) -> DataFrame:
-    """Score the pattern-instance graph in rounds; the patterns worth using."""
-    seeded = edges.groupBy("w").agg(F.count_distinct(F.when(F.col("seed"), F.col("t"))).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    counts = stage(seeded.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w"), "pii-patterns")
-    graph = stage(
-        edges.join(counts.select("w", "n"), "w").groupBy("w", "n", "t").agg(F.count(F.lit(1)).alias("hits"), F.max("seed").alias("seed")), "pii-graph"
-    )
-    trust = None
-    for _ in range(ROUNDS):
-        if trust is None:
-            scored = graph.withColumn("trust", F.col("seed").cast("double"))
-        else:
-            scored = graph.join(trust, "t", "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
-        worth = scored.groupBy("w").agg((F.sum(F.col("trust") * F.col("hits")) / F.max("n")).alias("worth"))
+    """Score the pattern-instance graph in rounds, each with the patterns that trusted identifiers induce; the patterns worth using."""
+    every = stage(edges.groupBy("w", "t").agg(F.count(F.lit(1)).alias("hits"), F.max("seed").alias("seed")), "pii-graph")
+    counts = trust = None
+    last, rounds = -1, 0
+    while True:
+        known = every.withColumn("found", F.lit(0.0)) if trust is None else every.join(trust, "t", "left")
+        known = known.withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))))
+        induced = known.groupBy("w").agg(F.count_if(F.col("trust") >= WORTH).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("w")
+        fresh = stage(induced if counts is None else induced.join(counts, "w", "left_anti"), "pii-induced")
+        if counts is None or not fresh.isEmpty():
+            counted = stage(fresh.join(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "w"), "pii-patterns")
+            counts = counted if counts is None else counts.unionByName(counted)
+        worth = known.join(counts, "w").groupBy("w").agg((F.sum(F.col("trust") * F.col("hits")) / F.max("n")).alias("worth"))
         worth = stage(worth.where(F.col("worth") >= WORTH), "pii-worth")
-        noisy = graph.join(worth, "w").groupBy("t").agg(F.sum(F.ln(1 - F.least("worth", F.lit(0.99)))).alias("miss"))
-        trust = noisy.select("t", (1 - F.exp("miss")).alias("found"))
-    return worth.select("w")
+        n, rounds = worth.count(), rounds + 1
+        if not n or (n == last and rounds >= ROUNDS):
+            return worth.select("w")
+        last = n
+        noisy = every.join(worth, "w").groupBy("t").agg(F.sum(F.ln(1 - F.least("worth", F.lit(0.99)))).alias("miss"))
+        trust = stage(noisy.select("t", (1 - F.exp("miss")).alias("found")), "pii-trust")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
