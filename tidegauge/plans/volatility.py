@@ -190,7 +190,9 @@ def gjr_fit_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = log_r(spark, sf_dir).withColumn("pos", F.row_number().over(returns.in_order(BY)))
     ends = r.where("pos >= 500 AND pos % 5 = 0").select("series_id", F.col("pos").alias("asof"))
     windows = r.join(F.broadcast(ends), "series_id").where("pos <= asof").select("series_id", "asof", "date", "r")
-    return volatility.gjr_fit_groups(windows, ["series_id", "asof"])
+    # as in walk_forward: small windows would be coalesced into a few tasks
+    spread = windows.repartition(max(64, spark.sparkContext.defaultParallelism * 4), "series_id", "asof")
+    return volatility.gjr_fit_groups(spread, ["series_id", "asof"])
 
 
 BREACH_SQL = f"{ROLL_SQL}, breach AS (SELECT series_id, date, r < {VAR_Z!r} * sigma AS breach FROM roll WHERE sigma IS NOT NULL)"
