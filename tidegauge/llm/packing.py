@@ -3,9 +3,9 @@
 Tokenising writes one row per piece, with the piece's rank among those of its length in its task.
 Piece lengths run from 1 to the capacity, so the packing itself works on counts by length, a
 table of at most ``capacity`` rows whatever the input: longest first, each gap is filled exactly
-by one, two or three available lengths (looked up in indexes of single, pair and triple sums),
-consuming as many of the combination as the counts allow at once; what finds no exact complement
-is placed best-fit. The plan is a list of intervals of ranks by length, bounded in the same way;
+by one, two or three available lengths, looked up by their total in indexes of single, pair and
+triple sums that are kept under the counts, consuming as many of the combination as the counts
+allow at once; what finds no exact complement is placed best-fit. The plan is a list of intervals of ranks by length, bounded in the same way;
 pieces look up their place in it by global rank. Nothing is dropped or capped.
 
 Defined cases: null text is empty (its document is the end token alone); repeated rows are packed
@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,59 +32,70 @@ from .common import small_batches, stage
 CAPACITY = 2048
 END = 0
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, k long"
-WORDS_KEPT = 300_000
+PIECES_KEPT = 400_000
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class Pieces(dict):
+    """Ids of a plain word's pieces, as bytes; what was used since the last but one overflow is remembered."""
+
+    def __init__(self, new: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.new, self.most, self.older = new, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        self[piece] = ids = self.new(piece) if ids is None else ids
+        return ids
+
+
 class WordEncoder:
-    """Token ids as packed little-endian bytes; words are encoded once and remembered up to a bound.
+    """Token ids as packed little-endian bytes; pieces of words are encoded once and remembered up to a bound.
 
-    Exact for tokenizers whose tokens never span white space: splitting at a space or line feed
-    then never changes the ids. Words of ASCII and Latin-1 letters are cut into letters, digits
-    and marks here, as the tokenizer would, and only new pieces go to its merge table; any other
-    word goes through the tokenizer as a whole.
+    Exact for tokenizers whose tokens never span white space: splitting there then never changes
+    the ids. Lines of ASCII and Latin-1 letters are cut into letters, digits and marks here, as the
+    tokenizer would, and only new pieces go to its merge table; other lines go word by word, and
+    a word of other characters through the tokenizer as a whole.
     """
 
-    PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    PLAIN = re.compile("[ \\t\\r!-~À-ÖØ-öø-ÿ]*")
+    CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\t\\ra-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.parts = {"": b""}, {}
+        self.parts, self.words = Pieces(self._merged, PIECES_KEPT), Pieces(self._whole, PIECES_KEPT // 4)
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        probe = "Ab3's \u00c9t\u00e9, x--y!? it'll 'd\u00df9-'tis"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.cuts = b"".join(map(self._cut, probe.split(" "))) == np.array(whole, "<u4").tobytes()
-
-    def _cut(self, word: str) -> bytes:
-        out = []
-        for part in self.CUT.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                ids = np.array([t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))], "<u4").tobytes()
-                self.parts[part] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _new(self, word: str) -> bytes:
-        if self.cuts and self.PLAIN.fullmatch(word) and "<|" not in word:
-            return self._cut(word)
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        probe = "Ab3's \u00c9t\u00e9, x--y!? it'll 'd\u00df9-'tis\ta\r  b"
+        self.cuts = self._cut(probe) == self._whole(probe)
+
+    def _merged(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.letters) if not piece.isascii() else piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _cut(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.CUT.findall(text.lower())))
+
+    def _plain(self, text: str) -> bool:
+        return self.cuts and "<|" not in text and self.PLAIN.fullmatch(text) is not None
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            known = self.known
-            for memory in (known, self.parts):
-                if len(memory) > WORDS_KEPT:
-                    memory.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = self._new(word)
-            yield b"".join(map(known.__getitem__, words))
+            out = []
+            for line in text.split("\n"):
+                if self._plain(line):
+                    out.append(self._cut(line))
+                else:
+                    out += [self._cut(w) if self._plain(w) else self.words[w] for w in line.split(" ") if w]
+            yield b"".join(out)
 
 
 def _pieces(path: str, capacity: int):
@@ -116,39 +128,65 @@ def _pieces(path: str, capacity: int):
     return cut
 
 
+class Sums:
+    """Indexes of single, pair and triple sums: by total, the available lengths that add up to it.
+
+    An entry is a combination's longest length, or for triples one length whose remainder the index
+    of pairs has. Counts only fall, so an entry that has run out is passed for good and the index
+    moves on to the total's next combination; none is looked at twice."""
+
+    def __init__(self, left: list[int]) -> None:
+        self.left = left
+        self.pair = [total - 1 for total in range(len(left))]
+        self.triple = [total - 2 for total in range(len(left))]
+
+    def one(self, total: int) -> Iterator[tuple[int, ...]]:
+        if total > 0 and self.left[total]:
+            yield (total,)
+
+    def _is_pair(self, high: int, low: int) -> bool:
+        return self.left[high] > (high == low) and self.left[low] > 0
+
+    def two(self, total: int) -> Iterator[tuple[int, ...]]:
+        """Available pairs, longest member first; the index keeps the first one."""
+        if total < 2:
+            return
+        high = self.pair[total]
+        while 2 * high >= total and not self._is_pair(high, total - high):
+            high -= 1
+        self.pair[total] = high
+        for high in range(high, (total - 1) // 2, -1):
+            if self._is_pair(high, total - high):
+                yield high, total - high
+
+    def three(self, total: int) -> Iterator[tuple[int, ...]]:
+        if total < 3:
+            return
+        third = self.triple[total]
+        while third > 0 and not (self.left[third] and next(self.two(total - third), None)):
+            third -= 1
+        self.triple[total] = third
+        for third in range(third, 0, -1):
+            if self.left[third]:
+                for parts in self.two(total - third):
+                    yield third, *parts
+
+
 def plan_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Fill sequences by lengths: (lengths in one sequence, how many such sequences)."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
+    left = [counts.get(length, 0) for length in range(capacity + 1)]
     patterns: list[tuple[tuple[int, ...], int]] = []
     if left[capacity]:
-        patterns.append(((capacity,), int(left[capacity])))
+        patterns.append(((capacity,), left[capacity]))
         left[capacity] = 0
 
     def fits(parts: tuple[int, ...]) -> int:
-        return min(int(left[p]) // n for p, n in Counter(parts).items())
+        return min(left[p] // n for p, n in Counter(parts).items())
 
-    def pair(total: int) -> tuple[int, ...] | None:
-        """The pair sum's entry with its longest member: both available (twice, if equal)."""
-        if total < 2:
-            return None
-        high = np.arange(total - 1, (total - 1) // 2, -1)
-        ok = np.flatnonzero((left[high] > 0) & (left[total - high] > 0))
-        for at in ok[:2]:
-            if fits(found := (int(high[at]), int(total - high[at]))):
-                return found
-        return None
+    sums = Sums(left)
 
     def exact(length: int, gap: int) -> tuple[int, ...] | None:
-        if gap > 0 and left[gap] and fits((length, gap)):
-            return (length, gap)
-        if (two := pair(gap)) and fits((length, *two)):
-            return (length, *two)
-        for third in np.flatnonzero(left[: max(gap - 1, 0)])[::-1]:
-            if (two := pair(gap - int(third))) and fits(found := (length, int(third), *two)):
-                return found
-        return None
+        return next((found for c in (sums.one, sums.two, sums.three) for parts in c(gap) if fits(found := (length, *parts))), None)
 
     rest: list[tuple[int, int]] = []
     for length in range(capacity - 1, 0, -1):
@@ -158,7 +196,7 @@ def plan_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
             for part in found:
                 left[part] -= n
         if left[length]:
-            rest.append((length, int(left[length])))
+            rest.append((length, left[length]))
             left[length] = 0
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     gaps: list[int] = []
@@ -240,5 +278,6 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     places = _places(plan_counts(counts, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     first = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("k"))
+    # as many rows as tasks times lengths: never broadcast
+    ranked = pieces.join(first.hint("merge"), ["task", "length"]).withColumn("rank", F.col("first") + F.col("k"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_placed(places), PLACED)
