@@ -85,18 +85,39 @@ def brute_removed():
     return Counter(out)
 
 
-@pytest.mark.parametrize("batch", [50, 2_000_000])
+@pytest.mark.parametrize("batch", [300, 12 << 20])
 def test_substring_dedup(docs, none, batch, monkeypatch):
-    monkeypatch.setattr(substring, "BATCH_WORDS", batch)
+    monkeypatch.setattr(substring, "BATCH_BYTES", batch)
     assert Counter(map(tuple, substring.substring_dedup(docs, buckets=5).collect())) == brute_removed()
     assert substring.substring_dedup(none).count() == 0
 
 
+def windows_of(texts):
+    raw = b" ".join(texts)
+    words = substring.Words(raw)
+    doc = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
+    at = np.flatnonzero(doc[:-12] == doc[12:])
+    return words, doc[at], at, words.starts[at], words.ends[at + 12], raw
+
+
 def test_equal_hashes_are_told_apart():
-    ids = np.array([*range(13), *range(13, 26), *range(13)])
-    doc = np.repeat([0, 1, 2], 13)
-    at, lose = substring.losers(ids, np.zeros(39, np.uint64), doc)
-    assert at.tolist() == [0, 13, 26] and lose.tolist() == [False, False, True]
+    a, b = b" ".join(b"a%d" % i for i in range(13)), b" ".join(b"b%d" % i for i in range(13))
+    _, doc, *rest = windows_of([a, b, a])
+    assert substring.losers(np.zeros(3, np.uint64), doc, *rest).tolist() == [False, False, True]
+
+
+def test_hashes_of_runs_do_not_depend_on_place():
+    rng = np.random.default_rng(5)
+    texts = [b" ".join(b"w%d" % i for i in rng.integers(0, 12, 3000)) for _ in range(4)] + [b"x " * 5000 + b"y"]
+    words, *_ = windows_of(texts)
+    flat = b" ".join(texts).split()
+    for n in (1, 3, 13):
+        seen = {}
+        for i, h in enumerate(words.runs(n).tolist()):
+            assert seen.setdefault(tuple(flat[i : i + n]), h) == h
+        assert len(set(seen.values())) == len(seen)
+    runs = words.runs(3)
+    assert words.minimisers().tolist() == [runs[i : i + 11].min() for i in range(len(flat) - 12)]
 
 
 def sets_of(rows):

@@ -50,14 +50,22 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the scanned input, clamped: it chooses counts of buckets, never results."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size of the scanned input, None where it has none: it chooses counts of buckets, never results."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(size, 1 << 47))
+    return size if size < 1 << 55 else None
 
 
 def bucket_count(df: DataFrame, per_bucket: int, least: int = 256) -> int:
-    return int(max(least, min(1 << 20, input_bytes(df) // per_bucket)))
+    return int(max(least, min(1 << 20, (input_bytes(df) or 0) // per_bucket)))
+
+
+def partition_count(df: DataFrame, per_partition: int, least: int = 8) -> int:
+    """Partitions of so many input bytes each, however large the input; of an unknown size, the session's number."""
+    size = input_bytes(df)
+    if size is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(least, min(1 << 17, size // per_partition)))
 
 
 def first_of_each(rows: DataFrame, key: str, n: int, salt: int) -> DataFrame:

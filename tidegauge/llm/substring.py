@@ -3,18 +3,22 @@
 A window is 13 consecutive words; its minimiser is the least hash among its runs of three words.
 Consecutive windows sharing a minimiser travel as one packed string (a super-k-mer) to the
 minimiser's bucket, so equal windows always meet, and the words of a window are sent about three
-times instead of thirteen. In the bucket the windows are sorted and compared word by word, so
-the result is exact: hashes only route and order.
+times instead of thirteen. In the bucket the windows are sorted by hash and compared byte by byte,
+so the result is exact: hashes only route and order. Windows that are alone in their cell of a table
+of hashes have no equal and are not sorted.
 
 Hot passages: each task first settles the windows of its own batch. A window that a smaller
 document of the batch also has is removed there and then; only the windows of the batch's
 smallest document travel. So a bucket gets a window at most once for each batch (and once for
-each repeat inside that document), however many copies the corpus holds.
+each repeat inside that document), however many copies the corpus holds. The numbers of buckets and
+of partitions follow the input's size, a partition's rows come sorted by bucket, and a task holds
+one bucket at a time.
 
 Defined cases: null text has no words; documents under 13 words lose nothing; a repeat inside
 one document alone is no reason to remove; rows that repeat a document's id are compared by id,
-so neither is smaller; a row without an id is left whole and makes no other lose words; an empty
-table gives an empty result; only the id and text columns are read.
+so neither is smaller; a row without an id is left whole and makes no other lose words; very long
+texts are a batch of their own; an empty table gives an empty result; only the id and text columns
+are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -29,40 +33,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, small_batches
+from .common import bucket_count, partition_count, small_batches
 
 WINDOW = 13
 MINIMISER = 3
-BATCH_WORDS = 2_000_000
-BUCKET_BYTES = 2 << 20
-PARTS = "bucket int, doc_id long, fp long, starts binary, ends binary, block binary"
-PARTS_ARROW = pa.schema(
-    [("bucket", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("block", pa.binary())]
-)
+BATCH_BYTES = 12 << 20
+BUCKET_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
+PARTS = "bucket int, doc_id long, fp long, data binary"
+PARTS_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("data", pa.binary())])
 KEPT = pa.schema(
     [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
 )
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """The words `[^\\x20\\x09-\\x0D]+`, unchanged, in UTF-8: bytes split at just these blanks."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
-class WordTable(dict):
-    """Numbers for words, exact within one batch, and a hash for each that is the same everywhere."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def number(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-    def hashes(self) -> np.ndarray:
-        import xxhash
-
-        return np.fromiter(map(xxhash.xxh64_intdigest, self), np.uint64, len(self))
+SPACE = 0x20
+STRIDE = 4096
+FACTOR = 0xD6E8FEB86659FD93
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,131 +56,164 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words."""
+    """Hash of each run of n words from the words' hashes."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for i in range(n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[i : i + len(out)]
+        out = out * np.uint64(FACTOR) + h[i : i + len(out)]
     return _mix(out)
 
 
-def losers(ids: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For words in order of their documents' ids: the window starts that lie in one document, and
-    whether a smaller document has the same window. Exact: equal hashes are compared word by word."""
-    n = len(ids) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    at = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :])
-    key = _rolled(h, WINDOW)[at]
-    order = np.argsort(key, kind="stable")
-    sorted_key, pos = key[order], at[order]
+class Powers:
+    """Powers of an odd number modulo 2^64, from two short tables."""
+
+    def __init__(self, base: int) -> None:
+        self.base = base
+        self.low = np.array([pow(base, i, 1 << 64) for i in range(STRIDE)], np.uint64)
+        self.high = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> np.ndarray:
+        """The powers of base^STRIDE that numbers under n need."""
+        need = n // STRIDE + 1
+        if len(self.high) < need:
+            self.high = np.array([pow(self.base, STRIDE * i, 1 << 64) for i in range(2 * need)], np.uint64)
+        return self.high
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        high = self.upto(int(places[-1]) if len(places) else 0)
+        return self.low[places % STRIDE] * high[places // STRIDE]
+
+
+UP, DOWN = Powers(FACTOR), Powers(INVERSE)
+
+
+class Words:
+    """The words of a text parted by single spaces: where they lie, and hashes of runs of them.
+
+    A prefix sum of byte x factor^place gives any run's hash by one difference, scaled back to
+    place 0, so equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, raw: bytes) -> None:
+        data = np.frombuffer(raw, np.uint8)
+        gaps = np.flatnonzero(data == SPACE)
+        self.starts = np.concatenate([[0], gaps + 1])
+        self.ends = np.concatenate([gaps, [len(data)]])
+        rows = -(-len(data) // STRIDE)
+        terms = np.zeros((rows, STRIDE), np.uint64)
+        terms.reshape(-1)[: len(data)] = data
+        terms += np.uint64(1)
+        terms *= UP.low
+        terms *= UP.upto(len(data))[:rows, None]
+        sums = np.concatenate([np.zeros(1, np.uint64), terms.reshape(-1)])
+        np.cumsum(sums, out=sums)
+        self.before, self.after, self.back = sums[self.starts], sums[self.ends], DOWN.at(self.starts)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hash of each run of n words."""
+        m = max(0, len(self) - n + 1)
+        return _mix((self.after[n - 1 : n - 1 + m] - self.before[:m]) * self.back[:m])
+
+    def minimisers(self) -> np.ndarray:
+        """The least hash among each window's runs of MINIMISER words."""
+        low, width, runs = self.runs(MINIMISER), 1, WINDOW - MINIMISER + 1
+        while 2 * width <= runs:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        return np.minimum(low[: len(low) - runs + width], low[runs - width :])
+
+
+def losers(key: np.ndarray, doc: np.ndarray, word: np.ndarray, begin: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+    """For windows by hash, document's id, first word's number and place in raw: whether a smaller
+    document has the same window. Exact: what has equal hashes is compared byte by byte."""
+    lose = np.zeros(len(key), bool)
+    if not len(key):
+        return lose
+    cell = key >> np.uint64(64 - max(8, int(len(key)).bit_length() + 2))
+    last = np.zeros(int(cell.max()) + 1, np.int32)
+    last[cell] = np.arange(len(cell), dtype=np.int32)
+    many = np.zeros(len(last), bool)
+    many[cell[last[cell] != np.arange(len(cell), dtype=np.int32)]] = True
+    pick = np.flatnonzero(many[cell])
+    order = pick[np.lexsort((doc[pick], key[pick]))]
+    k = key[order]
     head = np.ones(len(order), bool)
-    head[1:] = sorted_key[1:] != sorted_key[:-1]
-    lead = pos[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    same, rest = np.ones(len(order), bool), np.flatnonzero(~head)
-    for i in range(WINDOW):
-        same[rest] &= ids[pos[rest] + i] == ids[lead[rest] + i]
-    lose = np.zeros(len(at), bool)
-    lose[order] = same & (doc[pos] > doc[lead])
-    if not same.all():  # two windows with one hash: settle that hash's windows by their words
-        for k in np.unique(sorted_key[~same]):
-            first: dict[bytes, int] = {}
-            for i in np.flatnonzero(key == k):
-                mine = doc[at[i]]
-                lose[i] = mine > first.setdefault(ids[at[i] : at[i] + WINDOW].tobytes(), mine)
-    return at, lose
-
-
-def _ranges(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Merge windows, by their sorted starts, into ranges of words."""
-    cut = np.flatnonzero(np.diff(starts) > WINDOW)
-    return starts[np.r_[0, cut + 1]], starts[np.r_[cut, len(starts) - 1]] + WINDOW
-
-
-def _minimisers(h: np.ndarray) -> np.ndarray:
-    m = _rolled(h, MINIMISER)
-    n = len(h) - WINDOW + 1
-    out = m[:n].copy()
-    for i in range(1, WINDOW - MINIMISER + 1):
-        np.minimum(out, m[i : i + n], out=out)
-    return out
-
-
-def _batch(docs: list[tuple[int, int, list[bytes]]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Settle a batch's own repeats and pack the rest by bucket."""
+    head[1:] = k[1:] != k[:-1]
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+    later = doc[order] > doc[lead]
+    mine, lead = order[later], lead[later]
+    if not len(mine):
+        return lose
+    lose[mine] = True
+    # passages that follow each other in both places are compared as one
+    by = np.argsort(word[mine], kind="stable")
+    mine, lead = mine[by], lead[by]
+    cut = np.flatnonzero((np.diff(word[mine]) != 1) | (np.diff(word[lead]) != 1))
+    first, final = np.r_[0, cut + 1], np.r_[cut, len(mine) - 1]
+    places = (begin[mine[first]], end[mine[final]], begin[lead[first]], end[lead[final]])
+    unlike = [n for n, (a, b, c, d) in enumerate(zip(*(x.tolist() for x in places), strict=True)) if raw[a:b] != raw[c:d]]
+    bad = np.unique(np.concatenate([key[mine[first[n] : final[n] + 1]] for n in unlike])) if unlike else ()
+    for one in bad:  # two windows with one hash: settle that hash's windows by their words
+        least: dict[bytes, int] = {}
+        for i in order[k == one].tolist():
+            lose[i] = doc[i] > least.setdefault(raw[begin[i] : end[i]], doc[i])
+    return lose
+
+
+def _verdicts(doc: np.ndarray, fp: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Lost windows as one row for each document: its ranges of words, merged."""
+    order = np.lexsort((start, fp, doc))
+    doc, fp, start = doc[order], fp[order], start[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
+    cut = new.copy()
+    cut[1:] |= np.diff(start) > WINDOW
+    at = np.flatnonzero(cut)
+    ranges = np.stack([start[at], start[np.r_[at[1:] - 1, len(start) - 1] if len(at) else at] + WINDOW], 1).astype("<i4")
+    owner = np.flatnonzero(new)
+    offsets = (8 * np.searchsorted(at, np.r_[owner, len(start)])).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ranges.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), -1, np.int32)), pa.array(doc[owner]), pa.array(fp[owner]), data], schema=PARTS_ARROW)
+
+
+def _batch(docs: list[tuple[int, int, int, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Settle the repeats of a batch (id, fp, number of words, words) and pack the rest by bucket."""
     docs.sort(key=lambda d: d[:2])
-    table, sizes = WordTable(), np.array([len(d[2]) for d in docs])
-    words = [w for d in docs for w in d[2]]
-    ids = table.number(words)
-    h = table.hashes()[ids]
-    row = np.repeat(np.arange(len(docs)), sizes)
-    key = np.array([d[0] for d in docs], np.int64)[row]
+    ids, fps, sizes = (np.array([d[i] for d in docs], np.int64) for i in range(3))
+    raw = b" ".join([d[3] for d in docs])
+    words = Words(raw)
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
     begins = np.cumsum(sizes) - sizes
-    at, lose = losers_by_row(ids, h, row, key)
-    out = []
-    for r, starts in _by_row(row, at[lose]):
-        s, e = _ranges(starts - begins[r])
-        out.append((-1, docs[r][0], docs[r][1], s.astype("<i4").tobytes(), e.astype("<i4").tobytes(), None))
-    go = at[~lose]
-    if len(go):
-        least = _minimisers(h)[go]
-        new = np.ones(len(go), bool)
-        new[1:] = (np.diff(go) != 1) | (least[1:] != least[:-1]) | (row[go[1:]] != row[go[:-1]])
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:] - 1, len(go) - 1]
-        a, b = go[first], go[last] + WINDOW
-        bucket = (_mix(least[first] + np.uint64(77)) % np.uint64(buckets)).astype(np.int64)
-        text = b" ".join(words)
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-        order = np.argsort(bucket, kind="stable")
-        a, b = a[order], b[order]
-        strings = [text[i:j] for i, j in zip(offsets[a].tolist(), (offsets[b] - 1).tolist(), strict=True)]
-        r = row[a]
-        owner = np.stack([[d[0] for d in docs], [d[1] for d in docs]], 1).astype(np.int64)
-        groups, firsts = np.unique(bucket[order], return_index=True)
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for g, i, j in zip(groups.tolist(), firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True):
-            docs_here, who = np.unique(r[i:j], return_inverse=True)
-            numbers = (np.diff(who, prepend=0).astype("<i4"), (a[i:j] - begins[r[i:j]]).astype("<i4"), (b[i:j] - a[i:j]).astype("<i4"))
-            head = np.array([len(docs_here), j - i], np.int64).tobytes() + owner[docs_here].tobytes()
-            out.append((g, None, None, None, None, squeeze.compress(head + b"".join(x.tobytes() for x in numbers) + b" ".join(strings[i:j]))))
-    if out:
-        yield _frame(out)
-
-
-def losers_by_row(ids: np.ndarray, h: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``losers`` with windows kept inside one row and compared by the rows' ids."""
-    at, lose = losers(ids, h, key)
-    inside = row[at] == row[at + WINDOW - 1]
-    if inside.all():
-        return at, lose
-    # windows across two rows of one id are no windows: judge again with the rows parted
-    gap = np.flatnonzero(np.diff(row)) + 1
-    wide = np.insert(ids, np.repeat(gap, WINDOW), -1 - np.arange(len(gap) * WINDOW))
-    place = np.arange(len(ids)) + WINDOW * row
-    hw = np.zeros(len(wide), np.uint64)
-    hw[place] = h
-    fill = np.setdiff1d(np.arange(len(wide)), place)
-    hw[fill] = _mix(fill.astype(np.uint64) + np.uint64(12345))
-    keys = np.full(len(wide), np.iinfo(np.int64).min)
-    keys[place] = key
-    at, lose = losers(wide, hw, keys)
-    back = np.full(len(wide), -1)
-    back[place] = np.arange(len(ids))
-    ok = (back[at] >= 0) & (back[at + WINDOW - 1] - back[at] == WINDOW - 1)
-    return back[at[ok]], lose[ok]
-
-
-def _by_row(row: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if len(starts):
-        starts = np.sort(starts)
-        r = row[starts]
-        for part in np.split(starts, np.flatnonzero(np.diff(r)) + 1):
-            yield int(row[part[0]]), part
-
-
-def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(PARTS_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PARTS_ARROW, strict=True)], schema=PARTS_ARROW)
+    at = np.flatnonzero(row[: 1 - WINDOW] == row[WINDOW - 1 :])
+    lose = losers(words.runs(WINDOW)[at], ids[row[at]], at, words.starts[at], words.ends[at + WINDOW - 1], raw)
+    lost, go = at[lose], at[~lose]
+    if len(lost):
+        r = row[lost]
+        yield _verdicts(ids[r], fps[r], lost - begins[r])
+    if not len(go):
+        return
+    least = words.minimisers()[go]
+    new = np.ones(len(go), bool)
+    new[1:] = (np.diff(go) != 1) | (least[1:] != least[:-1])
+    first = np.flatnonzero(new)
+    a, b = go[first], go[np.r_[first[1:] - 1, len(go) - 1]] + WINDOW
+    bucket = (_mix(least[first] + np.uint64(77)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, a, b = bucket[order], a[order], b[order]
+    strings = [raw[i:j] for i, j in zip(words.starts[a].tolist(), words.ends[b - 1].tolist(), strict=True)]
+    r = row[a]
+    start, size = (a - begins[r]).astype("<i4"), (b - a).astype("<i4")
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist()
+    squeeze = zstandard.ZstdCompressor(level=3)
+    blocks = []
+    for i, j in zip(cuts, cuts[1:]):
+        mine = r[i:j]  # ascending: so are the ids
+        next_doc = np.r_[True, mine[1:] != mine[:-1]]
+        who = mine[next_doc]
+        head = np.array([len(who), j - i], np.int64).tobytes() + np.diff(ids[who], prepend=0).tobytes() + fps[who].tobytes()
+        blocks.append(squeeze.compress(b"".join((head, next_doc.tobytes(), start[i:j].tobytes(), size[i:j].tobytes(), b" ".join(strings[i:j])))))
+    nothing = pa.nulls(len(blocks), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), nothing, nothing, pa.array(blocks, pa.binary())], schema=PARTS_ARROW)
 
 
 def _spread(buckets: int):
@@ -203,11 +221,12 @@ def _spread(buckets: int):
         docs, held = [], 0
         for batch in batches:
             for doc_id, fp, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "fp", "text")), strict=True):
-                words = words_of(text)
+                words = text.split()
                 if len(words) >= WINDOW:
-                    docs.append((doc_id, fp, words))
-                    held += len(words)
-                if held >= BATCH_WORDS:
+                    joined = b" ".join(words)
+                    docs.append((doc_id, fp, len(words), joined))
+                    held += len(joined)
+                if held >= BATCH_BYTES:
                     yield from _batch(docs, buckets)
                     docs, held = [], 0
         if docs:
@@ -216,68 +235,71 @@ def _spread(buckets: int):
     return spread
 
 
-def _judge(blocks: list[bytes]) -> pa.RecordBatch:
+def _judge(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
     """One bucket: sort its windows, and return the ranges that smaller documents also have."""
-    owners, whos, starts_, sizes_, table, ids_ = [], [], [], [], WordTable(), []
+    texts, parts, n_words, n_bytes = [], [], 0, 0
     for block in blocks:
         packed = zstandard.ZstdDecompressor().decompress(block)
         n_docs, n = np.frombuffer(packed, np.int64, 2).tolist()
+        ids, fps = np.cumsum(np.frombuffer(packed, np.int64, n_docs, 16)), np.frombuffer(packed, np.int64, n_docs, 16 + 8 * n_docs)
         at = 16 + 16 * n_docs
-        whos.append(np.cumsum(np.frombuffer(packed, "<i4", n, at)) + sum(map(len, owners)))
-        owners.append(np.frombuffer(packed, np.int64, 2 * n_docs, 16).reshape(n_docs, 2))
-        starts_.append(np.frombuffer(packed, "<i4", n, at + 4 * n))
-        sizes_.append(np.frombuffer(packed, "<i4", n, at + 8 * n))
-        ids_.append(table.number(packed[at + 12 * n :].split(b" ")))
-    owner, who = np.unique(np.concatenate(owners), axis=0, return_inverse=True)
-    who = who.reshape(-1)[np.concatenate(whos)]
-    start, size, ids = np.concatenate(starts_).astype(np.int64), np.concatenate(sizes_).astype(np.int64), np.concatenate(ids_)
-    # strings in order of their documents, one gap word before each to keep windows inside it
-    order = np.lexsort((start, who))
-    begin = (np.cumsum(size) - size)[order]
-    start, size, who = start[order], size[order], who[order]
-    first = np.cumsum(size + 1) - size
-    row = np.repeat(np.arange(len(size)), size)
-    place = np.arange(len(row)) + row + 1
-    mine = ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(row))]
-    wide = np.full(len(row) + len(size), -1, np.int32)
-    wide[place] = mine
-    h = np.full(len(wide), 99, np.uint64)
-    h[place] = table.hashes()[mine]
-    doc = np.full(len(wide), np.iinfo(np.int64).min)
-    doc[place] = owner[who, 0][row]
-    string = np.zeros(len(wide), np.int64)
-    string[place] = row
-    at, lose = losers(wide, h, doc)
-    at = at[lose & (wide[at] >= 0) & (string[at] == string[np.minimum(at + WINDOW - 1, len(wide) - 1)])]
-    out = []
-    if len(at):
-        s = string[at]
-        begins, docs = at - first[s] + start[s], who[s]
-        order = np.lexsort((begins, docs))
-        for part in np.split(order, np.flatnonzero(np.diff(docs[order])) + 1):
-            a, b = _ranges(begins[part])
-            i = docs[part[0]]
-            out.append((-1, int(owner[i, 0]), int(owner[i, 1]), a.astype("<i4").tobytes(), b.astype("<i4").tobytes(), None))
-    return _frame(out)
+        who = np.cumsum(np.frombuffer(packed, bool, n, at)) - 1
+        start, size = np.frombuffer(packed, "<i4", n, at + n), np.frombuffer(packed, "<i4", n, at + 5 * n)
+        text = packed[at + 9 * n :]
+        words = Words(text)
+        # each string's windows: the words that start one, by their number in the block
+        many = size - (WINDOW - 1)
+        string = np.repeat(np.arange(n), many)
+        place = np.arange(len(string)) - np.repeat(np.cumsum(many) - many, many)
+        word = (np.cumsum(size) - size)[string] + place
+        owner = who[string]
+        parts.append((
+            words.runs(WINDOW)[word], ids[owner], fps[owner], start[string] + place,
+            n_words + word, n_bytes + words.starts[word], n_bytes + words.ends[word + WINDOW - 1],
+        ))
+        texts.append(text)
+        n_words += len(words) + 1
+        n_bytes += len(text) + 1
+    key, doc, fp, start, word, begin, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+    lose = losers(key, doc, word, begin, end, b" ".join(texts))
+    if lose.any():
+        yield _verdicts(doc[lose], fp[lose], start[lose])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass settled ranges on; gather the blocks of one bucket after the other and judge them."""
+    now, blocks = -1, []
+    for batch in batches:
+        settled = batch.filter(pa.compute.less(batch["bucket"], 0))
+        if settled.num_rows:
+            yield settled
+        for bucket, block in zip(batch["bucket"].to_pylist(), batch["data"], strict=True):
+            if bucket < 0:
+                continue
+            if bucket != now and blocks:
+                yield from _judge(blocks)
+                blocks = []
+            now = bucket
+            blocks.append(block.as_py())
+    if blocks:
+        yield from _judge(blocks)
 
 
 def _kept(with_text: bool):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts, ends in zip(*(batch[c].to_pylist() for c in ("text", "starts", "ends")), strict=True):
-                words, removed = words_of(text), 0
+            for text, lost in zip(batch["text"].to_pylist(), batch["lost"].to_pylist(), strict=True):
+                words, removed = (text or b"").split(), 0
                 n = len(words)
-                if starts:
-                    gone = np.zeros(n + 1, np.int64)
-                    for s, e in zip(starts, ends, strict=True):
-                        np.add.at(gone, np.frombuffer(s, "<i4"), 1)
-                        np.add.at(gone, np.frombuffer(e, "<i4"), -1)
-                    cover = (np.cumsum(gone)[:-1] > 0).tolist()
-                    removed = sum(cover)
-                    words = [w for w, c in zip(words, cover, strict=True) if not c]
+                if lost:
+                    ranges = np.frombuffer(b"".join(lost), "<i4").reshape(-1, 2)
+                    gone = np.bincount(ranges[:, 0], minlength=n + 1) - np.bincount(ranges[:, 1], minlength=n + 1)
+                    stay = np.cumsum(gone)[:-1] == 0
+                    removed = n - int(stay.sum())
+                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
                 left = b" ".join(words)
-                rows.append((n, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass") if with_text else None))
+                rows.append((n, removed, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if with_text else None))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             arrays = [pa.array(c, f.type) for c, f in zip(columns, list(KEPT)[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], schema=KEPT)
@@ -288,29 +310,18 @@ def _kept(with_text: bool):
 def substring_dedup(docs: DataFrame, buckets: int | None = None, with_text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``)."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("fp", F.xxhash64("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("fp", F.xxhash64("text"))
     parts = texts.where("doc_id is not null and text is not null").mapInArrow(
         _spread(buckets or bucket_count(docs, BUCKET_BYTES)), PARTS
     )
     # a task's own verdicts pass through the buckets' shuffle in groups of their own
     settled = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(F.col("bucket"))
-    dealt = parts.withColumn("bucket", settled.cast("int")).repartition("bucket")
+    dealt = parts.withColumn("bucket", settled.cast("int"))
+    dealt = dealt.repartition(partition_count(docs, PARTITION_BYTES), "bucket").sortWithinPartitions("bucket")
     ranges = dealt.mapInArrow(_by_bucket, PARTS)
-    found = ranges.groupBy("doc_id", "fp").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    found = ranges.groupBy("doc_id", "fp").agg(F.collect_list("data").alias("lost"))
     return (
         texts.join(found, ["doc_id", "fp"], "left")
-        .select("doc_id", "text", "starts", "ends")
+        .select("doc_id", "text", "lost")
         .mapInArrow(_kept(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     )
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass settled ranges on; hold the compressed blocks of the partition's buckets and judge them one by one."""
-    blocks: dict[int, list[bytes]] = {}
-    for batch in batches:
-        yield batch.filter(pa.compute.less(batch["bucket"], 0))
-        for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
-            if bucket >= 0:
-                blocks.setdefault(bucket, []).append(block)
-    for bucket in sorted(blocks):
-        yield _judge(blocks.pop(bucket))
