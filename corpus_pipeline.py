@@ -23,8 +23,7 @@ from tidegauge.llm.queries import vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out the documents that the classifier rejects."""
     part = crc_mod(F.col("doc_id"), 5)
-    scored = toxicity.detect(docs, table(spark, sf_dir, "labels"), learn=part != 0, held_out=part == 0, keep=docs.columns)
-    return scored.where("_predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"), learn=part != 0)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

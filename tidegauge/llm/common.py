@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -23,12 +22,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every machine sees; a session without the setting (tests) gets a local one."""
+    """The folder that every machine sees. On one machine alone a session without the setting stages
+    under its warehouse; on a cluster that is refused, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="staged-")
-        shared_dir.own = found
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/staged"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -68,13 +69,25 @@ def partition_count(df: DataFrame, per_partition: int, least: int = 8) -> int:
     return int(max(least, min(1 << 17, size // per_partition)))
 
 
-def first_of_each(rows: DataFrame, key: str, n: int, salt: int) -> DataFrame:
-    """The n rows of each key that come first by a hash of doc_id; rows hold doc_id and the key.
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    A hash threshold from the key's own count leaves about 2n rows of it before any are ranked, so
-    that no task sees more of a large key (by bad luck a large key may give a few less than n)."""
-    hashed = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)))
+
+MOST_KEYS = 10_000
+
+
+def sampled(rows: DataFrame, key: str, n: int, salt: int) -> DataFrame:
+    """About n rows of each key (all, of a key that has no more), by a hash of doc_id.
+
+    A row is taken or left where it is read: only the counts by key move, and these are broadcast
+    while there are at most MOST_KEYS of them. The number taken is binomial with mean n."""
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    near = hashed.join(counts, key).where(F.col("_h").cast("double") * F.col("_n") <= F.lit(float(2 * n * (1 << 40))))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_h", "doc_id"))
-    return near.withColumn("_r", rank).where(F.col("_r") <= n).drop("_h", "_n", "_r")
+    found = counts.limit(MOST_KEYS + 1).collect()
+    if len(found) <= MOST_KEYS:
+        counts = F.broadcast(rows.sparkSession.createDataFrame(found, counts.schema))
+    share = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    return rows.join(counts, key).where(share * F.col("_n") <= float(n)).drop("_n")

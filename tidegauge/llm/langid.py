@@ -3,13 +3,14 @@
 Features are hashed character 1- to 3-grams of the lower-cased text (anything but letters is a
 break), as log counts times inverse document frequency, scaled to length 1. The weights are
 learnt by follow-the-regularised-leader with elastic-net penalties on a bounded sample of
-labelled rows (``per_lang`` rows of each language, the first by a hash of the id), and a
+labelled rows (about ``per_lang`` rows of each language, by a hash of the id), and a
 temperature is fitted on a part of that sample that the weights never saw. The sample reaches
 the driver as sparse counts, not as texts. Scoring reads every whole text once, without a shuffle.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; a null lang is not
 learnt from; without any labelled row all are ``und``; a row without an id is scored but neither
-learnt from nor held out; repeated rows are scored each; an empty table gives an empty result.
+learnt from nor held out; repeated rows are scored each, but learnt from once for an id; very long
+texts are read whole; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_each, small_batches
+from .common import sampled, small_batches
 
 DIMS = 1 << 15
 PER_LANG = 600
@@ -132,10 +133,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """Fit on the rows where ``learn`` holds: their text and lang alone."""
     small_batches(docs.sparkSession)
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    chosen = first_of_each(labelled, "lang", per_lang, 11).select(F.col("doc_id").alias("_id")).distinct()  # at most per_lang of each language
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").where(F.col("lang").isNotNull())
-    got = sample.select("lang", "text").mapInArrow(_features, "lang string, found binary, counts binary").collect()
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    sample = sampled(labelled, "lang", per_lang, 11).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    got = sample.select("row.lang", "row.text").mapInArrow(_features, "lang string, found binary, counts binary").collect()
     rows = [(r["lang"], np.frombuffer(r["found"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float)) for r in got]
     return fit(sorted((r for r in rows if len(r[1])), key=lambda r: (r[1].tobytes(), r[0])))
 

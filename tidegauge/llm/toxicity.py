@@ -8,14 +8,15 @@ inverse root of the landmarks' kernel matrix (Nystroem); a squared-hinge machine
 that space, and Platt's sigmoid turns its margin into a score. Runs of single characters are
 read as one word, and marks inside a word are ignored.
 
-Fitting uses a bounded sample of labelled rows (``per_class`` of each label, the first by a hash
-of the id); the driver gets landmark words and one short vector per sampled text. Scoring reads
+Fitting uses a bounded sample of labelled rows (about ``per_class`` of each label, by a hash of
+the id); the driver gets landmark words and one short vector per sampled text. Scoring reads
 every whole text once, without a shuffle; each worker remembers word vectors up to a bound.
 
 Defined cases: a null or empty text is scored as one without words; labels that are null are not
 learnt from, several for one id count as their largest; without both labels every score is 0;
-repeated rows are scored each; a row without an id is scored, neither learnt from nor held out;
-an empty table gives an empty result.
+repeated rows are scored each, but learnt from once for an id; a row without an id is scored,
+neither learnt from nor held out; very long texts are read whole; an empty table gives an empty
+result; further columns are ignored, and ``keep_clean`` passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_each, small_batches
+from .common import sampled, small_batches
 
 PER_CLASS = 3000
 LANDMARKS = 160
@@ -38,6 +39,7 @@ POWER = 2  # the kernel's power, itself a kernel: near doubles count, chance lik
 DECAY = 0.6
 BLUR, EXTRA = 0.65, 0.1  # kernel value of an insult with a character inserted; weight of such rows
 REACH = 4  # a triple's last character is at most this far from its first
+TOXIC = 0.5  # least score of a toxic text
 FLOOR = 0.4  # kernel values below this count as 0
 SHAPES = [(b, c) for b in range(1, REACH) for c in range(b + 1, REACH + 1)]
 LONGEST = 24
@@ -286,9 +288,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     sizes = {int(r["toxic"] > 0): r["count"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
     if len(sizes) < 2:
         return Machine()
-    chosen = first_of_each(marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic", per_class, 5)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), "toxic")  # at most 2 x per_class rows
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
+    chosen = sampled(marked.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "toxic", per_class, 5)
+    chosen = chosen.select(F.col("doc_id").alias("id2"), "toxic")  # about 2 x per_class rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id2"))
+    sample = sample.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     words = sample.select("toxic", "text").mapInArrow(_words, "toxic int, words array<string>")
     n1, n0 = (float(max(1, min(per_class, sizes[c]))) for c in (1, 0))
     by_word = words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
@@ -322,24 +325,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
     return fit(landmarks, pooled, np.array([r["toxic"] for r in got]), sizes[1] / (sizes[0] + sizes[1]))
 
 
-def detect(
-    docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, per_class: int = PER_CLASS, keep: list[str] | None = None
-) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted; with ``keep``, these columns of docs and _predicted."""
+def detect(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted."""
     machine = train(docs, labels, learn, per_class)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    if keep is not None:
-        texts = docs.select(*keep)
-    schema = OUT if keep is None else texts.withColumn("_predicted", F.lit(0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = machine.scores(batch["text"].to_pylist())
-            toxic = pa.array((scores >= 0.5).astype(np.int32))
-            if keep is None:
-                columns = [batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64()), toxic]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
-            else:
-                yield pa.RecordBatch.from_arrays([*batch.columns, toxic], names=[*batch.schema.names, "_predicted"])
-
-    return texts.mapInArrow(score, schema)
+            columns = [batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= TOXIC).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    return texts.mapInArrow(score, OUT)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS) -> DataFrame:
+    """The documents that are not predicted toxic, all columns unchanged."""
+    machine = train(docs, labels, learn, per_class)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(machine.scores(batch.column(at).to_pylist()) < TOXIC, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
