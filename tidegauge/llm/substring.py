@@ -9,7 +9,13 @@ of hashes have no equal and are not sorted.
 
 Hot passages: each task first settles the windows of its own batch. A window that a smaller
 document of the batch also has is removed there and then; only the windows of the batch's
-smallest document travel. So a bucket gets a window at most once for each batch (and once for
+smallest document travel.
+
+Hot runs: a run of three words that would fill a bucket by itself, found in a sample of the rows,
+is a minimiser only where a window has no other, so that windows which share no more than a common
+phrase or line spread out. The sample decides where windows meet, never which are equal.
+
+So a bucket gets a window at most once for each batch (and once for
 each repeat inside that document), however many copies the corpus holds. The numbers of buckets and
 of partitions follow the input's size, a partition's rows come sorted by bucket, and a task holds
 one bucket at a time.
@@ -33,12 +39,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, partition_count, small_batches
+from .common import bucket_count, input_bytes, partition_count, small_batches
 
 WINDOW = 13
 MINIMISER = 3
 BATCH_BYTES = 12 << 20
 BUCKET_BYTES, PARTITION_BYTES = 4 << 20, 16 << 20
+SAMPLE_BYTES, SAMPLE_SHARE = 8 << 20, 0.001  # of the input, to find hot runs
+STRING_BYTES = 120  # of a super-k-mer, about
+HOT_BITS, MOST_HOT = 22, 200_000
 PARTS = "bucket int, doc_id long, fp long, data binary"
 PARTS_ARROW = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("data", pa.binary())])
 KEPT = pa.schema(
@@ -115,9 +124,11 @@ class Words:
         m = max(0, len(self) - n + 1)
         return _mix((self.after[n - 1 : n - 1 + m] - self.before[:m]) * self.back[:m])
 
-    def minimisers(self) -> np.ndarray:
-        """The least hash among each window's runs of MINIMISER words."""
+    def minimisers(self, hot: np.ndarray | None = None) -> np.ndarray:
+        """The least hash among each window's runs of MINIMISER words; those in cells of hot come last."""
         low, width, runs = self.runs(MINIMISER), 1, WINDOW - MINIMISER + 1
+        if hot is not None:
+            low = (low >> np.uint64(1)) | (hot[low >> np.uint64(64 - HOT_BITS)].astype(np.uint64) << np.uint64(63))
         while 2 * width <= runs:
             low, width = np.minimum(low[:-width], low[width:]), 2 * width
         return np.minimum(low[: len(low) - runs + width], low[runs - width :])
@@ -176,7 +187,7 @@ def _verdicts(doc: np.ndarray, fp: np.ndarray, start: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(owner), -1, np.int32)), pa.array(doc[owner]), pa.array(fp[owner]), data], schema=PARTS_ARROW)
 
 
-def _batch(docs: list[tuple[int, int, int, bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
+def _batch(docs: list[tuple[int, int, int, bytes]], buckets: int, hot: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Settle the repeats of a batch (id, fp, number of words, words) and pack the rest by bucket."""
     docs.sort(key=lambda d: d[:2])
     ids, fps, sizes = (np.array([d[i] for d in docs], np.int64) for i in range(3))
@@ -192,7 +203,7 @@ def _batch(docs: list[tuple[int, int, int, bytes]], buckets: int) -> Iterator[pa
         yield _verdicts(ids[r], fps[r], lost - begins[r])
     if not len(go):
         return
-    least = words.minimisers()[go]
+    least = words.minimisers(hot)[go]
     new = np.ones(len(go), bool)
     new[1:] = (np.diff(go) != 1) | (least[1:] != least[:-1])
     first = np.flatnonzero(new)
@@ -216,7 +227,27 @@ def _batch(docs: list[tuple[int, int, int, bytes]], buckets: int) -> Iterator[pa
     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), nothing, nothing, pa.array(blocks, pa.binary())], schema=PARTS_ARROW)
 
 
-def _spread(buckets: int):
+def _sampled_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [b" ".join(t.split()) for t in batch["text"].to_pylist()]
+        runs, counts = np.unique(Words(b" ".join(texts)).runs(MINIMISER), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], names=["run", "n"])
+
+
+def hot_runs(texts: DataFrame, size: int | None) -> np.ndarray | None:
+    """Cells of the hashes of runs that would fill a bucket by themselves, judged by a sample of the rows."""
+    if not size:
+        return None
+    share = min(1.0, (SAMPLE_BYTES + SAMPLE_SHARE * size) / size)
+    least = max(8.0, share * BUCKET_BYTES / STRING_BYTES)
+    runs = texts.sample(share, 5).select("text").mapInArrow(_sampled_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    found = runs.where(F.col("n") >= least).orderBy(F.desc("n"), "run").limit(MOST_HOT).collect()
+    hot = np.zeros(1 << HOT_BITS, bool)
+    hot[np.array([r["run"] for r in found], np.int64).view(np.uint64) >> np.uint64(64 - HOT_BITS)] = True
+    return hot if found else None
+
+
+def _spread(buckets: int, hot: np.ndarray | None):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held = [], 0
         for batch in batches:
@@ -227,10 +258,10 @@ def _spread(buckets: int):
                     docs.append((doc_id, fp, len(words), joined))
                     held += len(joined)
                 if held >= BATCH_BYTES:
-                    yield from _batch(docs, buckets)
+                    yield from _batch(docs, buckets, hot)
                     docs, held = [], 0
         if docs:
-            yield from _batch(docs, buckets)
+            yield from _batch(docs, buckets, hot)
 
     return spread
 
@@ -311,9 +342,9 @@ def substring_dedup(docs: DataFrame, buckets: int | None = None, with_text: bool
     """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null without ``with_text``)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("fp", F.xxhash64("text"))
-    parts = texts.where("doc_id is not null and text is not null").mapInArrow(
-        _spread(buckets or bucket_count(docs, BUCKET_BYTES)), PARTS
-    )
+    texts_only = texts.where("doc_id is not null and text is not null")
+    hot = hot_runs(texts_only, input_bytes(docs))
+    parts = texts_only.mapInArrow(_spread(buckets or bucket_count(docs, BUCKET_BYTES), hot), PARTS)
     # a task's own verdicts pass through the buckets' shuffle in groups of their own
     settled = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))).otherwise(F.col("bucket"))
     dealt = parts.withColumn("bucket", settled.cast("int"))
