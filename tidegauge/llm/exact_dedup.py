@@ -8,7 +8,9 @@ without a shuffle. The other digests, each rarer than the support, take an ordin
 
 Defined cases: null text counts as empty; only A-Z fold; the largest id of a group stays (a null
 id loses to any other; a group of null ids keeps them all); a row repeated with the winning id
-is kept each time; an empty table gives an empty result; further input columns are ignored.
+is kept each time, and of rows that share an id but not the text each is judged with its own
+text; very long texts travel as digests only; an empty table gives an empty result; further input
+columns are ignored, and ``keep_one`` passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, fresh, stage
 
 SUPPORT = 1e-3
 
@@ -45,5 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     """The documents that stay, all columns unchanged."""
-    kept = exact_dedup(docs, support=support).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    key, digest = fresh(docs, "kept_id"), fresh(docs, "kept_sha256")
+    kept = exact_dedup(docs, support=support).where("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.sha2(ascii_lower(docs["text"]), 256) == F.col(digest))
+    return docs.join(kept, same, "left_semi")

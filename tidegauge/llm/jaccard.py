@@ -19,7 +19,9 @@ Shingles are compared as 64-bit hashes.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are
 their own component; fewer than five words are one shingle; repeated rows share a component; a
-null id is never the smallest; an empty table gives an empty result; only id and text are read.
+null id is never the smallest; rows that share an id but not the text are linked each by its own;
+very long texts are read whole; an empty table gives an empty result; only id and text are read,
+and ``keep_one`` passes other columns through whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bucket_count, small_batches, stage
+from .common import ascii_lower, bucket_count, fresh, partition_count, small_batches, stage
 from .components import connected_components
 from .substring import _mix, _rolled
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 FLUSH = 3_000_000
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 16 << 20
 CHUNK_TOKENS = 1_500_000
 BROADCAST_ROWS = 1_000_000  # two longs a row: 16 MB
 FAN, BITS = 8, 4096
@@ -112,41 +114,59 @@ def _blocks(bits: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By class, how many of a bucket's shingles another class has too."""
-    held: dict[int, list[bytes]] = {}
+    """By class, how many of a bucket's shingles another class has too; one bucket is held at a time."""
+    now, held = -1, []
     for batch in batches:
         sizes = batch.filter(pa.compute.less(batch["bucket"], 0))
         yield pa.RecordBatch.from_arrays([sizes["cls"], sizes["size"], pa.array(np.zeros(sizes.num_rows, np.int64))], names=["cls", "size", "shared"])
-        for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"].to_pylist(), strict=True):
-            if bucket >= 0:
-                held.setdefault(bucket, []).append(block)
-    for bucket in sorted(held):
-        keys, who, tokens = [], [], []
-        n_keys = 0
-        for block in held.pop(bucket):
-            n = int(np.frombuffer(block, np.int64, 1)[0])
-            keys.append(np.frombuffer(block, np.int64, n, 8))
-            who.append(np.repeat(np.arange(n_keys, n_keys + n), np.frombuffer(block, "<i4", n, 8 + 8 * n)))
-            n_keys += n
-            raw = np.frombuffer(block, np.uint8, offset=8 + 12 * n).reshape(-1, 5)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :5] = raw
-            tokens.append(wide.view("<u8").reshape(-1))
-        unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-        owner, token = back[np.concatenate(who)], np.concatenate(tokens)
-        if len(unique) < 1 << 24:
-            pairs = np.unique((token << np.uint64(24)) | owner.astype(np.uint64))
-            token, owner = pairs >> np.uint64(24), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((owner, token))
-            token, owner = token[order], owner[order]
-            new = np.r_[True, (np.diff(owner) != 0) | (token[1:] != token[:-1])]
-            token, owner = token[new], owner[new]
-        same = token[1:] == token[:-1]
-        many = np.r_[False, same] | np.r_[same, False]
-        counts = np.bincount(owner[many], minlength=len(unique))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(unique[at]), pa.array(np.zeros(len(at), np.int32)), pa.array(counts[at].astype(np.int64))], names=["cls", "size", "shared"])
+        for bucket, block in zip(batch["bucket"].to_pylist(), batch["block"], strict=True):
+            if bucket < 0:
+                continue
+            if bucket != now and held:
+                yield _count_shared(held)
+                held = []
+            now = bucket
+            held.append(block.as_py())
+    if held:
+        yield _count_shared(held)
+
+
+def _count_shared(blocks: list[bytes]) -> pa.RecordBatch:
+    keys, who, tokens = [], [], []
+    n_keys = 0
+    for block in blocks:
+        n = int(np.frombuffer(block, np.int64, 1)[0])
+        keys.append(np.frombuffer(block, np.int64, n, 8))
+        who.append(np.repeat(np.arange(n_keys, n_keys + n), np.frombuffer(block, "<i4", n, 8 + 8 * n)))
+        n_keys += n
+        raw = np.frombuffer(block, np.uint8, offset=8 + 12 * n).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        tokens.append(wide.view("<u8").reshape(-1))
+    unique, back = np.unique(np.concatenate(keys), return_inverse=True)
+    owner, token = back[np.concatenate(who)], np.concatenate(tokens)
+    # a shingle alone in its cell of a table of hashes is alone in the corpus, and is not sorted
+    cell = (token * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - max(8, len(token).bit_length() + 2))
+    number = np.arange(len(token), dtype=np.int32)
+    last = np.zeros(int(cell.max()) + 1, np.int32)
+    last[cell] = number
+    many = np.zeros(len(last), bool)
+    many[cell[last[cell] != number]] = True
+    pick = many[cell]
+    token, owner = token[pick], owner[pick]
+    if len(unique) < 1 << 24:
+        pairs = np.unique((token << np.uint64(24)) | owner.astype(np.uint64))
+        token, owner = pairs >> np.uint64(24), (pairs & np.uint64((1 << 24) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        new = np.r_[True, (np.diff(owner) != 0) | (token[1:] != token[:-1])][: len(token)]
+        token, owner = token[new], owner[new]
+    same = token[1:] == token[:-1]
+    many = (np.r_[False, same] | np.r_[same, False])[: len(token)]
+    counts = np.bincount(owner[many], minlength=len(unique))
+    at = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(unique[at]), pa.array(np.zeros(len(at), np.int32)), pa.array(counts[at].astype(np.int64))], names=["cls", "size", "shared"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +301,20 @@ def _join(group: pa.Table) -> pa.Table:
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    return _components(docs).drop("cls")
+
+
+def _text_class(text: Column) -> Column:
+    """Key of the texts equal but for the case of A-Z."""
+    return F.xxhash64(ascii_lower(text))
+
+
+def _components(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(ascii_lower(F.col("text"))).alias("cls"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_class(F.col("text")).alias("cls"), "text")
     ids = stage(keyed.select("doc_id", "cls"), "join-ids")
     bits = bucket_count(docs, BUCKET_BYTES, least=64).bit_length()
-    dealt = keyed.select("cls", "text").mapInArrow(_blocks(bits), BLOCKS).repartition("bucket")
+    dealt = keyed.select("cls", "text").mapInArrow(_blocks(bits), BLOCKS).repartition(partition_count(docs, PARTITION_BYTES), "bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(_shared, "cls long, size int, shared long")
     classes = stage(counted.groupBy("cls").agg(F.max("size").cast("long").alias("n_shingles"), F.sum("shared").alias("shared")), "join-classes")
     firsts = stage(ids.groupBy("cls").agg(F.min("doc_id").alias("first")), "join-firsts")
@@ -313,7 +342,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     component = joined.groupBy("root").agg(F.min("first").alias("least")).join(joined.select("node", "root"), "root").select(F.col("node").alias("cls"), "least")
     table = classes.select("cls", "n_shingles").join(firsts, "cls").join(component, "cls", "left")
     table = table.select("cls", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "first")).alias("component_id"))
-    return ids.join(table, "cls").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return ids.join(table, "cls").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "cls")
 
 
 def input_tokens(sets: DataFrame) -> int:
@@ -322,5 +351,6 @@ def input_tokens(sets: DataFrame) -> int:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the one with the smallest id; columns unchanged."""
-    kept = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    key, cls = fresh(docs, "kept_id"), fresh(docs, "kept_cls")
+    kept = _components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key), F.col("cls").alias(cls)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(key)) & (_text_class(docs["text"]) == F.col(cls)), "left_semi")
