@@ -1,16 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-1. Every page is parsed into a DOM tree, and the tree into its skeleton: labels (tag and classes,
-   digits folded), with equal sisters merged.
-2. Blocks at the same place with the same text in most of a host's different articles (in all of
-   them on hosts of a few) are constant nodes: template. Slots that vary are content. Near-copies,
-   pages that differ in under a fifth of their text, are one article.
-3. The skeletons of a host, each with the varying text of all of its pages as masses, are aligned by
-   simple tree matching and merged into one wrapper tree. A host's skeletons are merged in parts of
-   bounded size, then the parts' trees; its content root is the article or main node, or else the
-   smallest node that holds every varying slot.
-4. Each page is read again with its host's wrapper: blocks under the content root that are
-   neither template nor of a kind that is never article text (navigation, forms, scripts, ...).
+1. Every page is parsed into a DOM tree, and the whole tree, menus and notices included, into its
+   skeleton: labels (tag and classes, digits folded), with equal sisters merged.
+2. The skeletons of a host, each with the varying text of all of its pages as masses, are aligned by
+   simple tree matching and merged into one wrapper tree, in rounds of bounded size. As equal
+   sisters are one node, an aligned node is known by its label path: its slot.
+3. Slots that hold the same text in most of a host's different articles (in all of them on hosts of
+   a few) are constant nodes: template. Slots that vary are content. Near-copies, pages that differ
+   in under a fifth of their text, are one article. The wrapper's content root is the article or
+   main node, or else the smallest node that holds every varying slot.
+4. Each page is read again with its host's wrapper: blocks under the content root that are not
+   template, and of the varying ones those of no kind that is never article text (navigation,
+   forms, scripts, ...).
 5. Classes, ids and roles that are mostly found on adverts, comments and the like only mark a node.
    A mark does not hold for html, body, article, main and what encloses a page's article or main,
    nor where the varying text under it outweighs the host's varying text under no mark.
@@ -19,9 +20,10 @@ All pages count in 1 to 3. Wrappers are broadcast while their number is under a
 and joined by host (a skewed join, which Spark splits) beyond it.
 
 Defined cases: null html gives an empty text; a null or odd url has the empty host; unclosed and
-cut-off markup is closed at the end; a page without its host's content root is read from the
+cut-off markup is closed at the end, and markup may be nested to any depth; a page without its host's content root is read from the
 body; one without article or main whose text is all marked is read without the marks; pages alike in all of their text are one article in 2, so copies never make themselves
-template; repeated rows give repeated results; an empty table gives an empty result.
+template; repeated rows give repeated results; further columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +45,8 @@ from .common import small_batches, stage
 MERGED_AT_ONCE = 500  # skeletons
 TEMPLATE_SHARE, FEW = 0.5, 8  # of a host's different articles; all of them where they are few, from two on
 NEAR_SHARE = 0.2  # of a page's text: near-copies differ in less
-BROADCAST_HOSTS = 20_000
-LONGEST_WRAPPER = 2_000  # characters of a wrapper that may be broadcast
+BROADCAST_HOSTS = 10_000
+LONGEST_WRAPPER = 4_000  # bytes of a wrapper that may be broadcast
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -65,6 +68,8 @@ ROLES = {"navigation", "banner", "complementary", "contentinfo", "search", "form
 MAIN = {"article", "main"}
 UNMARKED = MAIN | {"html", "body"}
 MARK = "!"  # ends the label of a marked node
+OUT = "-"  # ends the label of what is never article text
+SILENT = {"head", "template", "svg", "canvas", "math", "object"}  # never read
 
 
 class Element:
@@ -158,196 +163,285 @@ def _dropped(node: Element, inside_main: bool) -> bool:
     return node.odd or (node.tag == "header" and not inside_main) or node.tag in RAW
 
 
-def blocks(top: Element, root: str | None = None, kept: frozenset[str] | None = frozenset()) -> list[tuple[str, str]]:
-    """(label path, text) of each block in page order, outside what is never article text and marked nodes but those kept (None: all)."""
-    out: list[tuple[str, str]] = []
+def _number(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+TOP = _number("")
+
+
+def child_place(place: int, label: str) -> int:
+    """A slot's number: that of the label path to it, made link by link, whatever the depth."""
+    return _number(f"{place}/{label}")
+
+
+class Node:
+    """A node of a skeleton or wrapper: label, its place's number, mass of varying text, children."""
+
+    __slots__ = ("label", "place", "mass", "children")
+
+    def __init__(self, label: str, place: int, mass: int = 0) -> None:
+        self.label, self.place, self.mass = label, place, mass
+        self.children: list[Node] = []
+
+    def walk(self) -> list[Node]:
+        """All nodes, parents before their children."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append(node)
+            todo += reversed(node.children)
+        return out
+
+
+class Block(NamedTuple):
+    place: int
+    text: str
+    out: bool  # under what is never article text
+    marked: bool
+    main: bool
+
+
+def blocks(top: Element) -> tuple[list[Block], dict[int, tuple[int, str]]]:
+    """All blocks of the whole page in order, and for each place its parent's place and its label."""
+    out: list[Block] = []
     text: list[str] = []
-    where = [""]
+    places: dict[int, tuple[int, str]] = {}
+    where = [(TOP, False, False, False)]
 
     def flush() -> None:
         if joined := " ".join(html.unescape("".join(text)).split()):
-            out.append((where[0], joined))
+            out.append(Block(where[0][0], joined, *where[0][1:]))
         text.clear()
 
-    todo: list[tuple] = [(top, "", False)]
+    todo: list[tuple] = [(top, (TOP, False, False, False))]
     while todo:
-        node, path, main = todo.pop()
-        if isinstance(node, str):
-            if root is None or path == root or path.startswith(root + "/"):
-                if not text:
-                    where[0] = path
-                text.append(node)
-            continue
+        node, here = todo.pop()
         if node is None:
             flush()
             continue
-        if _dropped(node, main) or (node.marked and kept is not None and f"{path}/{node.label}" not in kept):
+        if isinstance(node, str):
+            if not text:
+                where[0] = here
+            text.append(node)
+            continue
+        place, never, marked, main = here
+        if node.tag in RAW or node.tag in SILENT:
             if node.tag in BLOCK:
                 flush()
             continue
         if node.tag == "br":
             text.append(" ")
             continue
-        if node.tag in BLOCK or node.marked:
+        dropped = _dropped(node, main)
+        if node.tag in BLOCK or node.marked or dropped:
             flush()
-            path = f"{path}/{node.label}"
-            todo.append((None, "", False))
-        main = main or node.tag in MAIN
-        todo += [(c, path, main) for c in reversed(node.children)]
+            label = node.label + OUT * dropped
+            parent, place = place, child_place(place, label)
+            places.setdefault(place, (parent, label))
+            todo.append((None, None))
+        here = (place, never or dropped, marked or node.marked, main or node.tag in MAIN)
+        todo += [(c, here) for c in reversed(node.children)]
     flush()
-    return out
-
-
-def skeleton(found: list[tuple[str, str]]) -> list:
-    """The page's tree of labels with equal sisters merged: [label, mass, children]."""
-    tree: list = ["", 0, []]
-    for path, text in found:
-        node = tree
-        for label in path.split("/")[1:]:
-            nxt = next((c for c in node[2] if c[0] == label), None)
-            if nxt is None:
-                nxt = [label, 0, []]
-                node[2].append(nxt)
-            node = nxt
-        node[1] += len(text)
-    return tree
-
-
-def _shape(tree: list) -> list:
-    return [tree[0], 0, [_shape(c) for c in tree[2]]]
+    return out, places
+
+
+def skeleton(found: list[Block], places: dict[int, tuple[int, str]]) -> Node:
+    """The page's tree of the places that hold text, equal sisters merged."""
+    used: set[int] = set()
+    for block in found:
+        place = block.place
+        while place != TOP and place not in used:
+            used.add(place)
+            place = places[place][0]
+    nodes = {TOP: Node("", TOP)}
+    for place, (parent, label) in places.items():  # parents come first
+        if place in used:
+            nodes[place] = Node(label, place)
+            nodes[parent].children.append(nodes[place])
+    return nodes[TOP]
+
+
+def dumped(tree: Node) -> str:
+    """A tree as a flat list, so that no depth is too much: depth, label, place, mass of each node in order."""
+    rows, todo = [], [(tree, 0)]
+    while todo:
+        node, depth = todo.pop()
+        rows.append([depth, node.label, node.place, node.mass])
+        todo += [(c, depth + 1) for c in reversed(node.children)]
+    return json.dumps(rows)
+
+
+def loaded(rows: str, masses: dict[int, int] | None = None) -> Node:
+    trail: list[Node] = []
+    for depth, label, place, mass in json.loads(rows):
+        node = Node(label, place, mass if masses is None else masses.get(place, 0))
+        del trail[depth:]
+        if trail:
+            trail[-1].children.append(node)
+        trail.append(node)
+    return trail[0]
+
+
+def align(a: Node, b: Node) -> tuple[int, dict[tuple[int, int], list[tuple[int, int]]]]:
+    """Simple tree matching: the most nodes that two trees have in common, order kept, and for each
+    pair of nodes alike the children that match in it. Children come before their parents in a list
+    of pairs to do, so no depth is too much."""
+    if a.label != b.label:
+        return 0, {}
+    score: dict[tuple[int, int], int] = {}
+    pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    todo = [(a, b, False)]
+    while todo:
+        x, y, ready = todo.pop()
+        if not ready:
+            todo.append((x, y, True))
+            todo += [(c, d, False) for c in x.children for d in y.children if c.label == d.label]
+            continue
+        n, m = len(x.children), len(y.children)
+        gain = [[score.get((id(c), id(d)), 0) for d in y.children] for c in x.children]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + gain[i][j])
+        score[id(x), id(y)] = best[n][m] + 1
+        chosen, i, j = [], n, m
+        while i and j:
+            if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                chosen.append((i, j))
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i -= 1
+        pairs[id(x), id(y)] = chosen[::-1]
+    return score[id(a), id(b)], pairs
 
 
-def match(a: list, b: list) -> int:
-    """Simple tree matching: the most nodes that two trees have in common, order kept."""
-    if a[0] != b[0]:
-        return 0
-    best = np.zeros((len(a[2]) + 1, len(b[2]) + 1), int)
-    for i, x in enumerate(a[2], 1):
-        for j, y in enumerate(b[2], 1):
-            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + match(x, y))
-    return int(best[-1, -1]) + 1
+def match(a: Node, b: Node) -> int:
+    return align(a, b)[0]
 
 
-def merge(a: list, b: list) -> list:
+def merge(a: Node, b: Node) -> Node:
     """The union of two trees along their simple tree matching; masses add up."""
-    xs, ys = a[2], b[2]
-    best = np.zeros((len(xs) + 1, len(ys) + 1), int)
-    gain = [[match(x, y) for y in ys] for x in xs]
-    for i in range(1, len(xs) + 1):
-        for j in range(1, len(ys) + 1):
-            best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + gain[i - 1][j - 1])
-    out, i, j = [], len(xs), len(ys)
-    while i or j:
-        if i and j and gain[i - 1][j - 1] and best[i, j] == best[i - 1, j - 1] + gain[i - 1][j - 1]:
-            out.append(merge(xs[i - 1], ys[j - 1]))
-            i, j = i - 1, j - 1
-        elif j and (not i or best[i, j] == best[i, j - 1]):
-            out.append(ys[j - 1])
-            j -= 1
-        else:
-            out.append(xs[i - 1])
-            i -= 1
-    return [a[0], a[1] + b[1], out[::-1]]
+    pairs = align(a, b)[1]
+    out = Node(a.label, a.place, a.mass + b.mass)
+    todo = [(a, b, out)]
+    while todo:
+        x, y, node = todo.pop()
+        i = j = 0
+        for p, q in pairs[id(x), id(y)]:
+            one, two = x.children[p], y.children[q]
+            both = Node(one.label, one.place, one.mass + two.mass)
+            node.children += [*x.children[i:p], *y.children[j:q], both]
+            todo.append((one, two, both))
+            i, j = p + 1, q + 1
+        node.children += [*x.children[i:], *y.children[j:]]
+    return out
 
 
-def _mass(tree: list) -> int:
-    return tree[1] + sum(map(_mass, tree[2]))
+def _totals(tree: Node) -> dict[int, int]:
+    """Mass under each node, by id."""
+    order = tree.walk()
+    total = {id(n): n.mass for n in order}
+    for node in reversed(order):
+        total[id(node)] += sum(total[id(c)] for c in node.children)
+    return total
 
 
-def kept_marks(tree: list) -> list[str]:
-    """Paths of the marked nodes whose mass outweighs that under no mark."""
+def _pruned(tree: Node, drop: Callable[[Node], bool]) -> Node:
+    """The tree without the subtrees to drop."""
+    out = Node(tree.label, tree.place, tree.mass)
+    todo = [(tree, out)]
+    while todo:
+        node, copy = todo.pop()
+        for c in node.children:
+            if not drop(c):
+                copy.children.append(Node(c.label, c.place, c.mass))
+                todo.append((c, copy.children[-1]))
+    return out
 
-    def plain(t: list) -> int:
-        return 0 if t[0].endswith(MARK) else t[1] + sum(map(plain, t[2]))
 
-    out, least, todo = set(), plain(tree), [(tree, "")]
+def kept_marks(tree: Node) -> list[int]:
+    """Places of the marked nodes whose mass outweighs that under no mark."""
+    inside = _pruned(tree, lambda n: n.label.endswith(OUT))
+    least = _totals(plain := _pruned(inside, lambda n: n.label.endswith(MARK)))[id(plain)]
+    total, out, todo = _totals(inside), set(), [inside]
     while todo:
-        node, path = todo.pop()
-        if node[0].endswith(MARK):
-            if _mass(node) <= least:
+        node = todo.pop()
+        if node.label.endswith(MARK):
+            if total[id(node)] <= least:
                 continue
-            out.add(path)
-        todo += [(c, f"{path}/{c[0]}") for c in node[2]]
+            out.add(node.place)
+        todo += node.children
     return sorted(out)
 
 
-def without_marks(tree: list, kept: set[str], path: str = "") -> list:
-    """The tree without marked nodes but those kept."""
-    paths = [(c, f"{path}/{c[0]}") for c in tree[2]]
-    return [tree[0], tree[1], [without_marks(c, kept, p) for c, p in paths if not c[0].endswith(MARK) or p in kept]]
-
-
-def content_root(tree: list) -> str:
-    """Path of the outermost article or main node, else of the smallest node that holds all of the mass."""
+def without_marks(tree: Node, kept: set[int]) -> Node:
+    """The tree without what is never article text, and without marked nodes but those kept."""
+    return _pruned(tree, lambda n: n.label.endswith(OUT) or (n.label.endswith(MARK) and n.place not in kept))
 
-    def find_main(t: list, path: str) -> list[tuple[int, str]]:
-        here = f"{path}/{t[0]}" if t[0] else path
-        if t[0].split(".")[0] in MAIN:
-            return [(_mass(t), here)]
-        return [x for c in t[2] for x in find_main(c, here)]
 
-    total = max(1, _mass(tree))
-    if mains := [x for x in find_main(tree, "") if x[0] >= 0.2 * total]:
-        return max(mains)[1] if len(mains) == 1 else ""
-    node, path = tree, ""
-    while not node[1] and len(full := [c for c in node[2] if _mass(c)]) == 1 and full[0][2]:
-        node, path = full[0], f"{path}/{full[0][0]}"
-    return path
-
-
-def _number(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+def content_root(tree: Node) -> int | None:
+    """Place of the outermost article or main node, else of the smallest node that holds all of the mass; None for the top."""
+    total = _totals(tree)
+    mains, todo = [], [tree]
+    while todo:
+        node = todo.pop()
+        if node.label.split(".")[0] in MAIN:
+            if total[id(node)] >= 0.2 * max(1, total[id(tree)]):
+                mains.append(node)
+        else:
+            todo += node.children
+    if mains:
+        return mains[0].place if len(mains) == 1 else None
+    node = tree
+    while not node.mass and len(full := [c for c in node.children if total[id(c)]]) == 1 and full[0].children:
+        node = full[0]
+    return None if node is tree else node.place
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Host and skeleton of each page, a number for its text, and its blocks: number, place, mass."""
+    """Host and skeleton of each whole page, a number for its text, and its blocks: number, place, mass, whether never article text."""
     for batch in batches:
         rows = []
         for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            top = parse(source or "")
-            found = blocks(top)
-            marked = [x for x in blocks(top, kept=None) if MARK in x[0]]
-            whole = _number("\n".join(t for _, t in found or marked))
-            found += marked
-            rows.append((host, json.dumps(_shape(skeleton(found))), whole, [{"block": _number(p + "\n" + t), "place": p, "mass": len(t)} for p, t in found]))
+            found, places = blocks(parse(source or ""))
+            inner = [b.text for b in found if not b.out and not b.marked] or [b.text for b in found if not b.out]
+            listed = [{"block": _number(f"{b.place}\n{b.text}"), "place": b.place, "mass": len(b.text), "out": b.out} for b in found]
+            rows.append((host, dumped(skeleton(found, places)), _number("\n".join(inner)), listed))
         columns = list(zip(*rows, strict=True)) or [()] * 4
-        block = pa.struct([("block", pa.int64()), ("place", pa.string()), ("mass", pa.int64())])
+        block = pa.struct([("block", pa.int64()), ("place", pa.int64()), ("mass", pa.int64()), ("out", pa.bool_())])
         kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(block)]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "shape", "whole", "blocks"])
 
 
-def weighed(shape: list, masses: dict[str, int], path: str = "") -> list:
-    """A skeleton with the masses of its places."""
-    return [shape[0], masses.get(path, 0), [weighed(c, masses, f"{path}/{c[0]}") for c in shape[2]]]
-
-
 def _weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Skeletons with the masses of their places."""
     for batch in batches:
         both = zip(batch["shape"].to_pylist(), batch["masses"].to_pylist(), strict=True)
-        trees = [json.dumps(weighed(json.loads(s), {m["place"]: m["mass"] for m in ms})) for s, ms in both]
+        trees = [dumped(loaded(s, {m["place"]: m["mass"] for m in ms})) for s, ms in both]
         yield pa.RecordBatch.from_arrays([batch["host"], pa.array(trees, pa.string())], names=["host", "tree"])
 
 
 def _merged(group: pd.DataFrame) -> pd.DataFrame:
-    trees = [json.loads(t) for t in group["tree"].sort_values()]
-    out = trees[0]
-    for t in trees[1:]:
-        out = merge(out, t)
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [json.dumps(out)]})
+    trees = [loaded(t) for t in group["tree"].sort_values()]
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "tree": [dumped(reduce(merge, trees))]})
 
 
 def _rooted(group: pd.DataFrame) -> pd.DataFrame:
     out = _merged(group)
-    tree = json.loads(out["tree"].iloc[0])
+    tree = loaded(out["tree"].iloc[0])
     kept = kept_marks(tree)
-    return pd.DataFrame({"host": out["host"], "root": [content_root(without_marks(tree, set(kept)))], "kept": [kept]})
+    root = pd.array([content_root(without_marks(tree, set(kept)))], "Int64")
+    return pd.DataFrame({"host": out["host"], "root": root, "kept": [kept]})
 
 
 def _on_hosts(df: DataFrame, wrappers: DataFrame) -> DataFrame:
     """Each row with its host's wrapper; broadcast while that is small."""
-    size = F.coalesce(F.length(F.concat("root", F.array_join("kept", " "))), F.lit(0)) + 20 * F.greatest(F.size("template"), F.lit(0))
+    size = 20 * (1 + F.greatest(F.size("kept"), F.lit(0)) + F.greatest(F.size("template"), F.lit(0)))
     sizes = wrappers.agg(F.count(F.lit(1)).alias("n"), F.max(size).alias("longest")).first()
     small = sizes["n"] <= BROADCAST_HOSTS and (sizes["longest"] or 0) <= LONGEST_WRAPPER  # 40 MB at most
     wrappers = wrappers.withColumnRenamed("host", "h2")
@@ -369,43 +463,58 @@ def constants(seen: DataFrame) -> DataFrame:
     A page is known by its text, or, where all but a little of its text is frequent, by its frequent blocks."""
     pages = seen.dropDuplicates(["host", "whole"])
     first = stage(_frequent(pages.select("host", F.array_distinct("blocks.block").alias("blocks"))), "wrap-frequent")
-    known = _on_hosts(pages, first.withColumns({"root": F.lit(""), "kept": F.array().cast("array<string>")}))
+    known = _on_hosts(pages, first.withColumns({"root": F.lit(None).cast("long"), "kept": F.array().cast("array<long>")}))
     known = known.withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    # pages are told apart by what may be article text
+    known = known.withColumn("inner", F.filter("blocks", lambda b: ~b["out"]))
     mass = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda a, b: a + b["mass"])
-    rare = F.filter("blocks", lambda b: ~F.array_contains("template", b["block"]))
-    shared = F.array_sort(F.array_intersect("template", F.array_distinct("blocks.block")))
-    near = mass(rare) < NEAR_SHARE * mass(F.col("blocks"))
+    rare = F.filter("inner", lambda b: ~F.array_contains("template", b["block"]))
+    shared = F.array_sort(F.array_intersect("template", F.array_distinct("inner.block")))
+    near = mass(rare) < NEAR_SHARE * mass(F.col("inner"))
     known = known.withColumn("article", F.when(near, F.xxhash64(shared)).otherwise(F.col("whole")))
     articles = known.select("host", "article", F.array_distinct("blocks.block").alias("blocks")).groupBy("host", "article").agg(F.min("blocks").alias("blocks"))
     return _frequent(articles)
 
 
+def _in_rounds(trees: DataFrame) -> DataFrame:
+    """Merge until no host has more than MERGED_AT_ONCE trees; no task merges more than about so many."""
+    while True:
+        counts = trees.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        if (counts.agg(F.max("n").alias("n")).first()["n"] or 0) <= MERGED_AT_ONCE:
+            return trees
+        part = F.pmod(F.xxhash64("tree"), F.ceil(2 * F.col("n") / MERGED_AT_ONCE)).alias("part")
+        dealt = trees.join(counts, "host").select("host", part, "tree")
+        trees = stage(dealt.groupBy("host", "part").applyInPandas(_merged, "host string, tree string"), "wrap-merged")
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """One wrapper for each host: host, root, marked nodes that are content, and the numbers of its constant blocks."""
-    kinds = "host string, shape string, whole long, blocks array<struct<block: long, place: string, mass: long>>"
+    kinds = "host string, shape string, whole long, blocks array<struct<block: long, place: long, mass: long, out: boolean>>"
     seen = stage(pages.select("host", "html").mapInArrow(_shapes, kinds), "wrap-pages")
     constant = stage(constants(seen), "wrap-constant")
-    known = _on_hosts(seen, constant.withColumns({"root": F.lit(""), "kept": F.array().cast("array<string>")})).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
+    known = _on_hosts(seen, constant.withColumns({"root": F.lit(None).cast("long"), "kept": F.array().cast("array<long>")})).withColumn("template", F.coalesce("template", F.array().cast("array<long>")))
     each = known.select("host", "shape", "template", F.explode_outer("blocks").alias("b"))
     varying = F.when(F.array_contains("template", F.col("b.block")), 0).otherwise(F.coalesce("b.mass", F.lit(0)))
-    masses = each.groupBy("host", "shape", F.coalesce("b.place", F.lit("")).alias("place")).agg(F.sum(varying).alias("mass"))
+    masses = each.groupBy("host", "shape", F.coalesce("b.place", F.lit(TOP)).alias("place")).agg(F.sum(varying).alias("mass"))
     shapes = masses.groupBy("host", "shape").agg(F.collect_list(F.struct("place", "mass")).alias("masses"))
     trees = shapes.mapInArrow(_weighed, "host string, tree string")
-    parts = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / MERGED_AT_ONCE).alias("parts"))
-    dealt = trees.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("tree"), F.col("parts"))).select("host", "part", "tree")
-    merged = dealt.groupBy("host", "part").applyInPandas(_merged, "host string, tree string")
-    roots = merged.groupBy("host").applyInPandas(_rooted, "host string, root string, kept array<string>")
+    roots = _in_rounds(stage(trees, "wrap-trees")).groupBy("host").applyInPandas(_rooted, "host string, root long, kept array<long>")
     return stage(roots.join(constant, "host", "left"), "wrappers")
 
 
-def extract_text(source: str | None, root: str | None, kept: frozenset[str], template: set[int]) -> str:
+def extract_text(source: str | None, root: int | None, kept: frozenset[int], template: set[int]) -> str:
     """The main text of one page under its host's wrapper."""
-    top = parse(source or "")
-    found = blocks(top, root or None, kept) or (root and blocks(top, kept=kept))
-    if not found and not re.search(r"<(?:article|main)\b", source or "", re.I):
-        found = blocks(top, kept=None)
-    mains = [x for x in found if any(label.split(".")[0] in MAIN for label in x[0].split("/"))]
-    return "\n".join(t for p, t in (mains or found) if _number(p + "\n" + t) not in template)
+    found, places = blocks(parse(source or ""))
+    under: dict[int, tuple[bool, bool]] = {TOP: (False, True)}  # by place: under the root, under kept marks only
+    for place, (parent, label) in places.items():
+        inside, allowed = under[parent]
+        under[place] = (inside or place == root, allowed and (place in kept or not label.removesuffix(OUT).endswith(MARK)))
+    inner = [b for b in found if not b.out]
+    unmarked = [b for b in inner if under[b.place][1]]
+    chosen = [b for b in unmarked if under[b.place][0]] if root is not None else []
+    chosen = chosen or unmarked or ([] if re.search(r"<(?:article|main)\b", source or "", re.I) else inner)
+    chosen = [b for b in chosen if b.main] or chosen
+    return "\n".join(b.text for b in chosen if _number(f"{b.place}\n{b.text}") not in template)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
