@@ -1,30 +1,40 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Components become integers, each a weighted term. Candidates are dealt into groups and queries
-into blocks; for a (group, block) pair every term's postings (the candidates with a weight other
-than 0) are scattered, times the block's query weights, into one dense score array. The k best
-of each array are selected by partition, and the partial lists of a query are merged by a window
-over groups x k rows. Every query meets every group, so the result is exact.
+Components become integers, each a weighted term. Queries are taken in blocks of bounded bytes,
+each broadcast in turn to where the candidates lie, so candidates are never moved or copied. A task
+reads its candidates in groups; for a group every term's postings (the candidates with a weight
+other than 0) are scattered, times the block's query weights, into a dense score array. The k best
+of each array are selected by partition and merged into the task's lists; the tasks' lists of a
+query are merged by a window over tasks x k rows. Every query meets every candidate, so the result
+is exact.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; absent
 trailing components weigh 0; ties go to the smaller id; a query's own id is never its answer;
-fewer than k candidates give shorter lists; an empty table gives an empty result.
+fewer than k candidates give shorter lists; a query row that repeats another's id and vector asks
+once, rows of one id with different vectors share one list of that id's best answers; candidate
+rows count each; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUP_ROWS = 512
-QUERY_BLOCK = 2048
+from .common import stage
+
+GROUP_ROWS = 2048
+QUERIES_AT_ONCE = 256
+BLOCK_BYTES = 32 << 20  # of a broadcast block of queries
 OUT = "query_id long, vec_id long, score long"
+NEVER = np.iinfo(np.int64).min
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    lists = column.combine_chunks()
+def _matrix(lists: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
@@ -48,31 +58,54 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _search(k: int):
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        width = max(
-            [1] + [int(pa.compute.max(pa.compute.list_value_length(t["vec"])).as_py() or 0) for t in (left, right)]
-        )
-        order = np.argsort(right["id"].to_numpy(), kind="stable")
-        ids = right["id"].to_numpy()[order]
-        candidates, queries = _matrix(right["vec"], width)[order], _matrix(left["vec"], width)
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(queries), 256):
-            block = accumulate(queries[at : at + 256], candidates)
-            for query, scores in zip(left["id"].to_numpy()[at : at + 256], block, strict=True):
-                own = np.flatnonzero(ids != query)
-                mine = scores[own]
-                if len(mine) > k:
-                    bar = np.partition(mine, len(mine) - k)[len(mine) - k]
-                    above = np.flatnonzero(mine > bar)
-                    mine_at = np.concatenate([above, np.flatnonzero(mine == bar)[: k - len(above)]])
-                else:
-                    mine_at = np.arange(len(mine))
-                found.append((np.full(len(mine_at), query), ids[own][mine_at], mine[mine_at]))
-        return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=schema)
+def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best entries of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -scores, row))
+    row, ids, scores = row[order], ids[order], scores[order]
+    head = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    rank = np.arange(len(row)) - np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
+    return row[rank < k], ids[rank < k], scores[rank < k]
+
+
+def _group(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Entries (row of the query, id, score) that hold each query's k best of a group of candidates."""
+    order = np.argsort(ids, kind="stable")
+    ids, candidates = ids[order], candidates[order]
+    found = []
+    for at in range(0, len(queries), QUERIES_AT_ONCE):
+        scores = accumulate(queries[at : at + QUERIES_AT_ONCE], candidates)
+        asks = query_ids[at : at + QUERIES_AT_ONCE]
+        low, high = np.searchsorted(ids, asks, "left"), np.searchsorted(ids, asks, "right")
+        for i in np.flatnonzero(high > low):  # a query's own row
+            scores[i, low[i] : high[i]] = NEVER
+        bar = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(scores), NEVER)
+        row, at_id = np.nonzero((scores >= bar[:, None]) & (scores > NEVER))
+        found.append(_best(row + at, ids[at_id], scores[row, at_id], k))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _search(block: Broadcast, k: int, width: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = block.value
+        best = (np.zeros(0, np.int64),) * 3
+        ids, rows, held = [], [], 0
+
+        def settle() -> None:
+            nonlocal best, ids, rows, held
+            more = _group(query_ids, queries, np.concatenate(ids), np.concatenate(rows), k)
+            best = _best(*(np.concatenate(c) for c in zip(best, more, strict=True)), k)
+            ids, rows, held = [], [], 0
+
+        for batch in batches:
+            ids.append(batch["id"].to_numpy())
+            rows.append(_matrix(batch["vec"], width))
+            held += batch.num_rows
+            if held >= GROUP_ROWS:
+                settle()
+        if held:
+            settle()
+        columns = [query_ids[best[0]], best[1], best[2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return search
 
@@ -81,6 +114,7 @@ def exact_topk(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """Each query's k best candidates: query_id, rank (from 1), vec_id, score."""
+    spark = vectors.sparkSession
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     valid = vectors.where(
         F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(F.forall(vec_col, finite), F.lit(False))
@@ -89,14 +123,19 @@ def exact_topk(
         F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    sizes = valid.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.count_if("asks"), F.lit(0)).alias("q")).first()
-    group_rows = GROUP_ROWS if sizes["n"] < 1_000_000 else 128 * GROUP_ROWS
-    groups, blocks = max(1, -(-sizes["n"] // group_rows)), max(1, -(-sizes["q"] // QUERY_BLOCK))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    candidates = valid.select("id", "vec", deal(groups, 1).alias("g"), spread(blocks).alias("b"))
-    queries = valid.where("asks").select("id", "vec", spread(groups).alias("g"), deal(blocks, 2).alias("b"))
-    partial = queries.groupBy("g", "b").cogroup(candidates.groupBy("g", "b")).applyInArrow(_search(k), OUT)
+    sizes = valid.agg(F.coalesce(F.count_if("asks"), F.lit(0)).alias("q"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("width")).first()
+    width = max(1, sizes["width"])
+    blocks = max(1, -(-sizes["q"] * width * 8 // BLOCK_BYTES))
+    queries = valid.where("asks").select("id", "vec").dropDuplicates(["id", "vec"])
+    partial = None
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about BLOCK_BYTES
+        block = spark.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["vec"], width)))
+        found = valid.select("id", "vec").mapInArrow(_search(block, k, width), OUT)
+        if blocks > 1:
+            found = stage(found, "topk-block")
+            block.destroy()
+        partial = found if partial is None else partial.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         partial.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
