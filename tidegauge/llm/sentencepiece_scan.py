@@ -4,8 +4,8 @@ A text is cut into the pieces whose scores add up to the most; characters that n
 become byte pieces at a penalty. The best cut is a max-plus product of per-character transfer
 matrices, which is associative. A giant text is dealt into chunks over the cluster: a chunk's
 matrix holds the best score from each entry state to each exit state (how far the piece that
-crosses the boundary reaches over it), the matrices are folded in order, the boundary states
-follow, and each chunk is then backtraced by itself. Texts below ``GIANT`` characters take the
+crosses the boundary reaches over it), neighbouring matrices are multiplied level by level, the
+boundary states follow from the top level down, and each chunk is then backtraced by itself. Texts below ``GIANT`` characters take the
 same dynamic programme word by word, as pieces never run on into another word's blank; words
 are remembered up to a bound. (A vocabulary whose pieces do is run over whole texts.)
 
@@ -15,7 +15,7 @@ vocabulary, which need not be the library's sequence of merges. Decoding is exac
 
 Defined cases: null text counts as empty, without tokens; ties go to the longer last piece within
 a chunk and to the smaller entry state between chunks; repeated rows are encoded each; an empty
-table gives an empty result; only id and text are read.
+table gives an empty result; only id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage
 
 GIANT, CHUNK = 50_000, 10_000
+FANOUT = 64  # matrices multiplied by one task
 PENALTY = 10.0
 LOW = -1e300
 WORDS_KEPT = 300_000
@@ -207,29 +208,74 @@ class Pieces:
         return b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "surrogatepass")[1:]
 
 
-def fold(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Entry and exit state of each chunk on the best path through all."""
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The max-plus product, in order."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = (out[:, :, None] + m[None]).max(1)
+    return out
+
+
+def fold(matrices: list[np.ndarray], entry: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """Entry and exit state of each chunk on the best path through all, from entry to leave."""
     values = [np.full(len(matrices[0]), LOW)]
-    values[0][0] = 0.0
+    values[0][entry] = 0.0
     for m in matrices:
         values.append((values[-1][:, None] + m).max(0))
-    state, out = 0, []
+    state, out = leave, []
     for m, value in zip(reversed(matrices), reversed(values[:-1]), strict=True):
-        entry = int(np.argmax(value + m[:, state]))
-        out.append((entry, state))
-        state = entry
+        before = int(np.argmax(value + m[:, state]))
+        out.append((before, state))
+        state = before
     return out[::-1]
 
 
+def _bounds(scored: DataFrame, width: int, most: int) -> DataFrame:
+    """Boundary states (fp, c, entry, leave) of the chunks scored (fp, c, m), by a scan in levels.
+
+    Up: the matrices of FANOUT neighbours are multiplied into one, until a text has FANOUT at most;
+    the products of a level are independent. Down: with its entry and exit known, each product is
+    folded open into those of its members. No task holds more than FANOUT matrices of a text's."""
+    read = lambda column: [np.frombuffer(m).reshape(width, width) for m in column]
+
+    def multiplied(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        return pd.DataFrame({"fp": group["fp"].iloc[:1], "c": group["up"].iloc[:1], "m": [product(read(group["m"])).tobytes()]})
+
+    def opened(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("c")
+        found = fold(read(group["m"]), int(group["entry"].iloc[0]), int(group["leave"].iloc[0]))
+        return pd.DataFrame({"fp": group["fp"], "c": group["c"], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
+
+    up = F.floor(F.col("c") / FANOUT).alias("up")
+    levels = [scored]
+    while most > FANOUT:
+        most = -(-most // FANOUT)
+        levels.append(stage(levels[-1].select("fp", "c", "m", up).groupBy("fp", "up").applyInPandas(multiplied, "fp long, c long, m binary"), "scan-level"))
+    zero = F.lit(0)
+    known = levels[-1].select("fp", F.lit(0).cast("long").alias("up")).distinct().select("fp", "up", zero.alias("entry"), zero.alias("leave"))
+    for level in reversed(levels):
+        folded = level.select("fp", "c", "m", up).join(known, ["fp", "up"]).groupBy("fp", "up").applyInPandas(opened, "fp long, c long, entry int, leave int")
+        known = folded.withColumnRenamed("c", "up")
+    return known.withColumnRenamed("up", "c")
+
+
 def _giants(texts: DataFrame, path: str) -> DataFrame:
     """fp and ids of each different giant text."""
     reach = Pieces.of(path).longest
-    body = F.concat(F.lit(" "), "text")
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / CHUNK)))
-    cut = texts.dropDuplicates(["fp"]).select("fp", body.alias("body"), chunk.alias("c"))
-    part = F.substring("body", (F.col("c") * CHUNK + 1).cast("int"), F.lit(CHUNK + reach))
-    n = F.least(F.lit(CHUNK).cast("long"), F.length("body") - F.col("c") * CHUNK)
-    chunks = stage(cut.select("fp", "c", part.alias("part"), n.alias("n")).repartition("fp", "c"), "scan-chunks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text read once and cut into chunks, each with a look ahead."""
+        for batch in batches:
+            for fp, text in zip(batch["fp"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                body = " " + text
+                starts = list(range(0, len(body), CHUNK))
+                columns = [[fp] * len(starts), list(range(len(starts))), [body[i : i + CHUNK + reach] for i in starts], [min(CHUNK, len(body) - i) for i in starts]]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["fp", "c", "part", "n"])
+
+    cuts = texts.groupBy("fp").agg(F.min("text").alias("text")).mapInArrow(cut, "fp long, c long, part string, n long")
+    chunks = stage(cuts.repartition("fp", "c"), "scan-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
@@ -237,11 +283,6 @@ def _giants(texts: DataFrame, path: str) -> DataFrame:
             rows = [pieces.matrix(t, n).tobytes() for t, n in zip(batch["part"].to_pylist(), batch["n"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["fp"], batch["c"], pa.array(rows, pa.binary())], names=["fp", "c", "m"])
 
-    def states(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("c")
-        found = fold([np.frombuffer(m).reshape(reach, reach) for m in group["m"]])
-        return pd.DataFrame({"fp": group["fp"], "c": group["c"], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(path)
         for batch in batches:
@@ -249,8 +290,8 @@ def _giants(texts: DataFrame, path: str) -> DataFrame:
             rows = [pieces.trace(t, n, a, b) for t, n, a, b in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch["fp"], batch["c"], pa.array(rows, pa.binary())], names=["fp", "c", "ids"])
 
-    scored = chunks.mapInArrow(matrices, "fp long, c long, m binary")
-    bounds = scored.groupBy("fp").applyInPandas(states, "fp long, c long, entry int, leave int")
+    scored = stage(chunks.mapInArrow(matrices, "fp long, c long, m binary"), "scan-matrices")
+    bounds = _bounds(scored, reach, 1 + (scored.agg(F.max("c").alias("c")).first()["c"] or 0))
     ids = chunks.join(bounds, ["fp", "c"]).select("fp", "c", "part", "n", "entry", "leave").mapInArrow(trace, "fp long, c long, ids binary")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: F.hex(x["ids"]))
     return ids.groupBy("fp").agg(F.unhex(F.array_join(parts, "")).alias("ids"))
