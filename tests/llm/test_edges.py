@@ -88,6 +88,8 @@ def brute_removed():
 @pytest.mark.parametrize("batch", [300, 12 << 20])
 def test_substring_dedup(docs, none, batch, monkeypatch):
     monkeypatch.setattr(substring, "BATCH_BYTES", batch)
+    if batch == 300:  # every other cell of runs is hot
+        monkeypatch.setattr(substring, "hot_runs", lambda *_: np.arange(1 << substring.HOT_BITS) % 2 == 0)
     assert Counter(map(tuple, substring.substring_dedup(docs, buckets=5).collect())) == brute_removed()
     assert substring.substring_dedup(none).count() == 0
 
@@ -205,12 +207,35 @@ def test_topk(spark):
     for q, v in {q: v for q, v in valid if q % 10 == 0}.items():
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in valid if i != q)
         want = [(-s, i) for s, i in scores][:5]
-        if q == 20:  # a repeated query answers for both of its rows
-            continue
         assert [(s, i) for _, i, s in found[q]] == want
     assert topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_in_blocks_and_groups(spark, monkeypatch):
+    """Several blocks of queries and groups of candidates give the rows of one."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-2, 3, 5).astype(float).tolist()) for i in range(300)] + [(10, [1.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    whole = sorted(map(tuple, topk.exact_topk(df, F.col("vec_id") % 10 == 0).collect()))
+    monkeypatch.setattr(topk, "GROUP_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 4)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 500)
+    assert sorted(map(tuple, topk.exact_topk(df, F.col("vec_id") % 10 == 0).collect())) == whole
+    ints = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    for q, v in ints[20:60:10]:
+        want = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ints if i != q)[:5]
+        assert [(-s, i) for a, _, i, s in whole if a == q] == want
+
+
+def test_scan_in_levels_equals_one_fold(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "FANOUT", 3)
+    rng = np.random.default_rng(7)
+    all_ = {fp: [rng.normal(size=(4, 4)) for _ in range(n)] for fp, n in ((1, 1), (2, 3), (3, 4), (4, 29))}
+    df = spark.createDataFrame([(fp, c, m.tobytes()) for fp, ms in all_.items() for c, m in enumerate(ms)], "fp long, c long, m binary")
+    got = {(r["fp"], r["c"]): (r["entry"], r["leave"]) for r in sentencepiece_scan._bounds(df, 4, 29).collect()}
+    assert got == {(fp, c): x for fp, ms in all_.items() for c, x in enumerate(sentencepiece_scan.fold(ms))}
+
+
 def test_sparse_accumulation():
     q, c = RNG.integers(-3, 3, (7, 5)) * (RNG.random((7, 5)) < 0.4), RNG.integers(-3, 3, (9, 5)) * (RNG.random((9, 5)) < 0.4)
     assert (topk.accumulate(q, c) == q @ c.T).all()
@@ -390,8 +415,8 @@ def test_html_marks_do_not_empty_pages(spark):
         for i in range(10):
             want = f"words of {k} {i}\nand then number {i}"
             assert got[f"http://{k}/{i}"] == (f"date {i}\n{want}" if k == "board" else want)
-    assert html_extract.extract_text("<article></article><div class='ad'>buy</div>", "", frozenset(), set()) == ""
-    assert html_extract.extract_text("<div></div><div class='notice'>the story</div>", "", frozenset(), set()) == "the story"
+    assert html_extract.extract_text("<article></article><div class='ad'>buy</div>", None, frozenset(), set()) == ""
+    assert html_extract.extract_text("<div></div><div class='notice'>the story</div>", None, frozenset(), set()) == "the story"
 
 
 def test_html_template_of_few_pages_and_of_near_copies(spark):
@@ -405,17 +430,69 @@ def test_html_template_of_few_pages_and_of_near_copies(spark):
     assert all(got[10 + i].startswith("the same story") and got[10 + i].endswith(f"on day {i}") for i in range(12))
 
 
+def tree_of(label, *kids):
+    node = html_extract.Node(label, 0, 1)
+    node.children = list(kids)
+    return node
+
+
 def test_simple_tree_matching():
-    t = lambda label, *kids: [label, 1, list(kids)]
+    t = tree_of
     a, b = t("body", t("nav"), t("main", t("p")), t("footer")), t("body", t("main", t("p"), t("ul")), t("footer"))
     assert html_extract.match(a, b) == 4
     merged = html_extract.merge(a, b)
-    assert [c[0] for c in merged[2]] == ["nav", "main", "footer"] and [c[0] for c in merged[2][1][2]] == ["p", "ul"]
-    assert html_extract.content_root(merged) == "/body/main"
+    assert [c.label for c in merged.children] == ["nav", "main", "footer"] and [c.label for c in merged.children[1].children] == ["p", "ul"]
+    merged.children[1].place = 7
+    assert html_extract.content_root(merged) == 7
+
+
+def test_tree_matching_equals_all_alignments():
+    rng = np.random.default_rng(8)
+
+    def random_tree(depth):
+        return tree_of("abc"[rng.integers(3)], *[random_tree(depth - 1) for _ in range(rng.integers(0, 4))] if depth else [])
+
+    def brute(x, y):
+        if x.label != y.label:
+            return 0
+
+        def best(i, j):
+            if i == len(x.children) or j == len(y.children):
+                return 0
+            return max(best(i + 1, j), best(i, j + 1), brute(x.children[i], y.children[j]) + best(i + 1, j + 1))
+
+        return 1 + best(0, 0)
+
+    for _ in range(60):
+        a, b = random_tree(3), random_tree(3)
+        assert html_extract.match(a, b) == brute(a, b)
+        if a.label == b.label:  # a union holds both trees, and what they share once
+            merged = html_extract.merge(a, b)
+            assert len(merged.walk()) == len(a.walk()) + len(b.walk()) - html_extract.match(a, b)
+            assert html_extract.match(merged, a) == len(a.walk())
+
+
+def test_html_of_any_depth_and_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "MERGED_AT_ONCE", 3)
+    rows = [(i, "http://deep/", "<div>" * 5000 + f"deep {i % 2}") for i in range(4)]
+    rows += [(10 + i, "http://many/", "<div class='menu-x'>same</div>" + f"<section class='k{'abcdefghijkl'[i]}'><p>text {i} of its own</p></section>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == ["deep 0", "deep 1"] * 2
+    assert [got[10 + i] for i in range(12)] == [f"text {i} of its own" for i in range(12)]
+
+
+def test_html_wrapper_decides_where_no_name_tells(spark):
+    page = "<body><div><ul><li>Home</li><li>All news</li></ul></div><div><h1>{0}</h1><p>{1}</p></div><div><p>Imprint and terms</p></div></body>"
+    rows = [(i, "http://plain/", page.format(f"Title {i}", f"words {i} " * 9)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n" + " ".join([f"words {i}"] * 9) for i in range(9))
+    assert "Imprint" in html_extract.extract_text(rows[0][2], None, frozenset(), set())
 
 
 @pytest.mark.parametrize("giant", [50, 10**9])
-def test_sentencepiece(docs, none, giant):
+def test_sentencepiece(docs, none, giant, monkeypatch):
+    monkeypatch.setattr(sentencepiece_scan, "FANOUT", 3)
+    monkeypatch.setattr(sentencepiece_scan, "CHUNK", 500)
     path = vocabulary("piece_bpe_32k.model")
     got = sentencepiece_scan.decode(sentencepiece_scan.encode(docs, path, giant), path).collect()
     assert Counter((r["doc_id"], r["decoded"]) for r in got) == Counter((i, t or "") for i, t in DOCS)
