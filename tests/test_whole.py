@@ -25,9 +25,9 @@ def test_poisson_binomial_tail_of_every_forecast(spark):
 def test_gjr_runs_to_the_last_return(spark):
     omega, alpha, gamma, beta = volatility.THETA
     series = volatility.log_r(spark, SF).where("r IS NOT NULL").toPandas().sort_values("date").groupby("series_id")["r"].apply(list)
-    path = {(r["series_id"], r["i"]): r["v"] for r in volatility.gjr_fixed_theta_path_all(spark, SF).collect()}
-    nll = {r["series_id"]: r["nll"] for r in volatility.gjr_fixed_theta_nll_all(spark, SF).collect()}
-    ahead = {(r["series_id"], r["h"]): r["sigma"] for r in volatility.gjr_forward_sigma_all(spark, SF).collect()}
+    path = {(r["series_id"], r["i"]): r["v"] for r in volatility.gjr_fixed_theta_path(spark, SF).collect()}
+    nll = {r["series_id"]: r["nll"] for r in volatility.gjr_fixed_theta_nll(spark, SF).collect()}
+    ahead = {(r["series_id"], r["h"]): r["sigma"] for r in volatility.gjr_forward_sigma(spark, SF).collect()}
     assert max(map(len, series)) > 250
     assert len(path) == sum(len(e) + 1 for e in series)
     for s, e in series.items():
@@ -54,7 +54,7 @@ def test_forecast_artifact_is_of_the_latest_date(spark):
 def test_every_asof_date_has_rows(spark):
     want = {(r["series_id"], r["pos"]) for r in ensembles.at(spark, SF).select("series_id", "pos").collect()}
     assert len({pos for _, pos in want}) > 1
-    for query in (ensembles.bootstrap_shocks_all, ensembles.session_limit_paths_all, ensembles.composed_fx_paths_all):
+    for query in (ensembles.bootstrap_shocks, ensembles.session_limit_paths, ensembles.composed_fx_paths):
         assert {(r["series_id"], r["pos"]) for r in query(spark, SF).select("series_id", "pos").distinct().collect()} == want
 
 

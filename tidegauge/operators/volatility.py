@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,16 +80,21 @@ def solve_gram(row: dict, columns: list[str]) -> tuple[np.ndarray, float]:
     return beta, float((row["y_y"] - beta @ b) / (row["n"] - p))
 
 
-def har_fit(variances: DataFrame, by: list[str], least: int = 60) -> list[dict]:
-    """OLS of the design by series (a 4 x 4 system on the driver), and the smearing term."""
-    out = []
-    for row in gram(har_design(variances, by), by, ["x_d", "x_w", "x_m"], "y").collect():
-        got = row.asDict()
-        if got["n"] < least:
-            continue
-        beta, variance = solve_gram(got, ["x_d", "x_w", "x_m"])
-        out.append({**{k: got[k] for k in by}, "beta": beta, "smearing": variance / 2, "n": got["n"]})
-    return out
+def har_fit(variances: DataFrame, by: list[str], least: int = 60) -> DataFrame:
+    """OLS of the design by series, a 4 x 4 system in each row of cross products, and the smearing term:
+    the key, const, day, week, month, smearing, n. Shorter series give no row."""
+    sums = gram(har_design(variances, by), by, ["x_d", "x_w", "x_m"], "y").where(F.col("n") >= least)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for got in batch.to_dict("records"):
+                beta, variance = solve_gram(got, ["x_d", "x_w", "x_m"])
+                rows.append([*(got[k] for k in by), *map(float, beta), variance / 2, got["n"]])
+            yield pd.DataFrame(rows, columns=[*by, "const", "day", "week", "month", "smearing", "n"])
+
+    kinds = dict(variances.dtypes)
+    return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in by) + ", const double, day double, week double, month double, smearing double, n long")
 
 
 def har_forward(beta: Iterable[float], smearing: float, recent: list[float], horizon: int) -> list[float]:
@@ -233,6 +238,36 @@ def gjr_fit_groups(returns: DataFrame, by: list[str], least: int = 250) -> DataF
     return returns.select(*by, "date", "r").groupBy(*by).applyInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", " + FIT)
 
 
+DATES_AT_ONCE = 8
+
+
+def gjr_fit_asofs(arrays: DataFrame, by: list[str], rs: str, first: int, step: int, least: int = 250) -> DataFrame:
+    """A fit for each as-of position (a number of returns) of each series. A row carries the returns up to the
+    last of its few dates, so a history travels once for each group of dates, and groups spread evenly."""
+    kinds = dict(arrays.dtypes)
+    n = F.size(rs)
+    starts = F.explode(F.sequence(F.lit(first), n, F.lit(step * DATES_AT_ONCE))).alias("start")
+    groups = arrays.where(n >= first).select(*by, rs, starts)
+    end = F.least(F.size(rs), F.col("start") + step * (DATES_AT_ONCE - 1))
+    groups = groups.select(*by, F.sequence("start", end, F.lit(step)).alias("asofs"), F.slice(rs, F.lit(1), end).alias("rs"))
+    spread = groups.repartition(max(64, arrays.sparkSession.sparkContext.defaultParallelism * 4), *by, "asofs")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("omega", "alpha", "gamma", "beta", "nu", "nll")
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                for asof in row["asofs"]:
+                    try:
+                        got = gjr_fit(np.asarray(row["rs"][:asof], float), least=least)
+                    except InsufficientDataError:
+                        continue
+                    rows.append([*(row[k] for k in by), int(asof), *(got[c] for c in names), math.sqrt(got["next_variance"]), got["n"]])
+            yield pd.DataFrame(rows, columns=[*by, "asof", *[c.split()[0] for c in FIT.split(", ")]])
+
+    return spread.mapInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in by) + ", asof int, " + FIT)
+
+
 #: Whether a model's variance depends on the path simulated.
 PER_PATH_VARIANCE = {"gjr_garch": True, "rolling_std": False, "har_rv": False}
 

@@ -6,7 +6,6 @@ it; paths never leave the task. Seeds depend on position, horizon and model, not
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InsufficientDataError
-from . import volatility
+from . import inference, scoring, volatility
 from .paths import series_arrays
 
-SCORES = "horizon int, model string, crps double, pit double, var_breach boolean, p_up double, y_up double, terminal_log_sd double, sigma double"
+SCORES = "horizon int, model string, crps double, pit double, var_breach boolean, p_up double, y_up double, terminal_log_sd double, sigma double, growth double"
 
 
 @dataclass(frozen=True)
@@ -110,7 +109,7 @@ def walk_forward(prices: DataFrame, by: list[str], models: list[str], request: R
                     u = np.random.default_rng([request.seed, pos, h]).random()
                     for k, m in enumerate(models):
                         paths = fitted[m](h, request.seed + pos * 1000 + h + 500_000_000 * k)
-                        out.append((*key, pos, h, m, *grade(paths, seen[-1], ahead[h - 1], request.level, u), float(returns.std(ddof=1))))
+                        out.append((*key, pos, h, m, *grade(paths, seen[-1], ahead[h - 1], request.level, u), float(returns.std(ddof=1)), float(ahead[h - 1] / seen[-1])))
             yield pd.DataFrame(out, columns=[*by, "pos", *[c.split()[0] for c in SCORES.split(", ")]])
 
     kinds = dict(prices.dtypes)
@@ -128,15 +127,22 @@ def calibration(scores: DataFrame, by: list[str], base: str) -> DataFrame:
     return each.join(ref, keys, "left").withColumn("skill", 1 - F.col("crps") / F.col("_base")).drop("_base")
 
 
-def tail_reference(scores: DataFrame, by: list[str], multiple: float) -> pd.DataFrame:
-    """Driftless Gaussian chances of ending above a multiple, from each record's own sigma, against the count seen."""
-    from ..functions import stats
+TAIL = "n long, seen long, expected double, at_least double, at_most double, poisson double"
 
-    rows = scores.select(*by, "horizon", "sigma", "y_up").toPandas()
-    out = []
-    for key, g in rows.groupby([*by, "horizon"]):
-        p = [stats.normal_sf(math.log(multiple) / (s * math.sqrt(key[-1]))) for s in g["sigma"] if s > 0]
-        pmf = stats.poisson_binomial(p)
-        seen = int(g["y_up"].sum())
-        out.append((*key, len(p), seen, float(sum(p)), float(pmf[seen:].sum())))
-    return pd.DataFrame(out, columns=[*by, "horizon", "n", "seen", "expected", "p_at_least"])
+
+def tail_calibration(scores: DataFrame, by: list[str], multiple: float) -> DataFrame:
+    """By key and horizon: endings above a multiple of the anchor, counted once for each as-of date, against
+    the driftless Gaussian chances from each date's own sigma. A group is the dates of one series."""
+    each = scores.where("sigma > 0").groupBy(*by, "horizon", "pos").agg(F.max("sigma").alias("sigma"), F.max("growth").alias("growth"))
+    kinds = dict(scores.dtypes)
+
+    def tail(group: pd.DataFrame) -> pd.DataFrame:
+        h = int(group["horizon"].iloc[0])
+        p = [scoring.driftless_gaussian(multiple, s, h) for s in group["sigma"]]
+        seen = int((group["growth"] > multiple).sum())
+        got = inference.tail_test(p, seen)
+        row = {k: group[k].iloc[0] for k in [*by, "horizon"]} | {"n": len(p), "seen": seen} | got
+        return pd.DataFrame([row])[[*by, "horizon", *[c.split()[0] for c in TAIL.split(", ")]]]
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*by, "horizon"]) + ", " + TAIL
+    return each.groupBy(*by, "horizon").applyInPandas(tail, schema)

@@ -34,6 +34,13 @@ def walkforward_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walkforward.calibration(walkforward.walk_forward(main_series(spark, sf_dir), BY, ["random_walk"], Request(step=5)), BY, "random_walk")
 
 
+@query()
+def tail_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endings more than a twentieth above the anchor, against the driftless Gaussian chances."""
+    scores = walkforward.walk_forward(main_series(spark, sf_dir), BY, ["random_walk"], Request(step=5))
+    return walkforward.tail_calibration(scores, BY, 1.05)
+
+
 def latest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ensembles.ensemble(spark, sf_dir)
     last = ensembles.at(spark, sf_dir).groupBy("series_id").agg(F.max("pos").alias("pos"))

@@ -53,17 +53,8 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at(spark, sf_dir).select("series_id", "pos", F.element_at(ahead, -1).alias("y"), F.array_min(ahead).alias("y_min"), F.array_max(ahead).alias("y_max"))
 
 
-@query(f"WITH {PATHS_SQL} SELECT series_id, pos, model, path, step, idx FROM draws WHERE pos = {FIRST}")
-def block_bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first as-of date, as its SQL; block_bootstrap_indices_all takes every as-of date."""
-    rows = at(spark, sf_dir).where(F.col("pos") == FIRST).select("series_id", "pos", F.explode(F.array(*[F.struct(F.lit(m.number).cast("long").alias("model"), F.lit(m.block).cast("long").alias("block")) for m in MODELS])).alias("m"))
-    rows = rows.select("series_id", "pos", "m.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATHS - 1).cast("long"))).alias("path"))
-    index = paths._indices(F.col("pos"), F.col("path"), F.col("pos") * 1000 + F.col("model"), F.col("block"), HORIZON)
-    return rows.select("series_id", "pos", "model", "path", F.posexplode(index).alias("step", "idx")).withColumn("step", F.col("step").cast("long"))
-
-
 @query(f"WITH {PATHS_SQL} SELECT series_id, pos, model, path, step, idx FROM draws")
-def block_bootstrap_indices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_bootstrap_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every as-of date."""
     rows = at(spark, sf_dir).select("series_id", "pos", F.explode(F.array(*[F.struct(F.lit(m.number).cast("long").alias("model"), F.lit(m.block).cast("long").alias("block")) for m in MODELS])).alias("m"))
     rows = rows.select("series_id", "pos", "m.*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PATHS - 1).cast("long"))).alias("path"))
@@ -71,15 +62,8 @@ def block_bootstrap_indices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "pos", "model", "path", F.posexplode(index).alias("step", "idx")).withColumn("step", F.col("step").cast("long"))
 
 
-@query(f"WITH {PATHS_SQL} SELECT series_id, pos, model, path, step, round(shock, 8) AS shock FROM shocks WHERE pos = {FIRST}")
-def bootstrap_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first as-of date, as its SQL; bootstrap_shocks_all takes every as-of date."""
-    got = ensemble(spark, sf_dir).where(F.col("pos") == FIRST).select("series_id", "pos", "model", "path", F.posexplode("shocks").alias("step", "shock"))
-    return got.withColumn("step", F.col("step").cast("long")).withColumn("shock", F.round("shock", 8))
-
-
 @query(f"WITH {PATHS_SQL} SELECT series_id, pos, model, path, step, round(shock, 8) AS shock FROM shocks")
-def bootstrap_shocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bootstrap_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every as-of date."""
     got = ensemble(spark, sf_dir).select("series_id", "pos", "model", "path", F.posexplode("shocks").alias("step", "shock"))
     return got.withColumn("step", F.col("step").cast("long")).withColumn("shock", F.round("shock", 8))
@@ -143,20 +127,6 @@ def survivor_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*KEY, *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q05", "q50", "q95"))])
 
 
-@query(f"""WITH RECURSIVE {PATHS_SQL}, s AS (SELECT * FROM shocks WHERE pos = {FIRST} AND model = 1),
-    t AS (SELECT DISTINCT series_id, path, CAST(-1 AS BIGINT) AS step, anchor AS price, CAST(0 AS DOUBLE) AS carry, false AS locked FROM s
-          UNION ALL
-          SELECT series_id, path, step, least(greatest(target, p0 * (1 - c)), p0 * (1 + c)), CASE WHEN least(greatest(target, p0 * (1 - c)), p0 * (1 + c)) <> target
-                     THEN ln(target / least(greatest(target, p0 * (1 - c)), p0 * (1 + c))) ELSE 0 END, least(greatest(target, p0 * (1 - c)), p0 * (1 + c)) <> target
-          FROM (SELECT t.series_id, t.path, s.step, t.price AS p0, t.price * exp(s.shock + t.carry) AS target, CASE WHEN t.locked THEN 0.06 ELSE 0.04 END::DOUBLE AS c
-                FROM t JOIN s ON s.series_id = t.series_id AND s.path = t.path AND s.step = t.step + 1))
-    SELECT series_id, path, step, round(price, 5) AS price FROM t WHERE step >= 0""")
-def session_limit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first as-of date and model 1, as its SQL; session_limit_paths_all takes every as-of date."""
-    got = ensemble(spark, sf_dir).where(f"pos = {FIRST} AND model = 1").withColumn("l", paths.limited(F.col("shocks"), F.col("anchor"), 0.04, 0.06))
-    return got.select("series_id", "path", F.posexplode("l.prices").alias("step", "price")).select("series_id", "path", F.col("step").cast("long").alias("step"), F.round("price", 5).alias("price"))
-
-
 @query(f"""WITH RECURSIVE {PATHS_SQL}, s AS (SELECT * FROM shocks),
     t AS (SELECT DISTINCT series_id, pos, model, path, CAST(-1 AS BIGINT) AS step, anchor AS price, CAST(0 AS DOUBLE) AS carry, false AS locked FROM s
           UNION ALL
@@ -165,7 +135,7 @@ def session_limit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM (SELECT t.series_id, t.pos, t.model, t.path, s.step, t.price AS p0, t.price * exp(s.shock + t.carry) AS target, CASE WHEN t.locked THEN 0.06 ELSE 0.04 END::DOUBLE AS c
                 FROM t JOIN s ON s.series_id = t.series_id AND s.pos = t.pos AND s.model = t.model AND s.path = t.path AND s.step = t.step + 1))
     SELECT series_id, pos, model, path, step, round(price, 5) AS price FROM t WHERE step >= 0""")
-def session_limit_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_limit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every as-of date."""
     got = ensemble(spark, sf_dir).withColumn("l", paths.limited(F.col("shocks"), F.col("anchor"), 0.04, 0.06))
     return got.select(*KEY, "path", F.posexplode("l.prices").alias("step", "price")).select(*KEY, "path", F.col("step").cast("long").alias("step"), F.round("price", 5).alias("price"))
@@ -236,20 +206,9 @@ def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome_table(spark, sf_dir)
 
 
-@query(f"""WITH {PATHS_SQL} SELECT x.series_id, x.pos, x.path, x.step, round(x.price * y.price * 0.001, 4) AS price
-    FROM walked x JOIN walked y ON y.series_id = x.series_id AND y.pos = x.pos AND y.path = x.path AND y.step = x.step AND x.model = 0 AND y.model = 1 AND x.pos < 400""")
+@query(f"""WITH {PATHS_SQL} SELECT series_id, pos, path, step, round(max(price) FILTER (WHERE model = 0) * max(price) FILTER (WHERE model = 1) * 0.001, 4) AS price
+    FROM walked WHERE model IN (0, 1) GROUP BY 1, 2, 3, 4""")
 def composed_fx_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On as-of dates before 400, as its SQL; composed_fx_paths_all takes every as-of date."""
-    e = ensemble(spark, sf_dir).where("pos < 400")
-    one = e.where("model = 0").select("series_id", "pos", "path", F.col("prices").alias("a"))
-    two = e.where("model = 1").select("series_id", "pos", "path", F.col("prices").alias("b"))
-    both = one.join(two, ["series_id", "pos", "path"]).select("series_id", "pos", "path", F.posexplode(F.zip_with("a", "b", lambda a, b: a * b * 0.001)).alias("step", "price"))
-    return both.select("series_id", "pos", "path", F.col("step").cast("long").alias("step"), F.round("price", 4).alias("price"))
-
-
-@query(f"""WITH {PATHS_SQL} SELECT x.series_id, x.pos, x.path, x.step, round(x.price * y.price * 0.001, 4) AS price
-    FROM walked x JOIN walked y ON y.series_id = x.series_id AND y.pos = x.pos AND y.path = x.path AND y.step = x.step AND x.model = 0 AND y.model = 1""")
-def composed_fx_paths_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every as-of date."""
     e = ensemble(spark, sf_dir)
     one = e.where("model = 0").select("series_id", "pos", "path", F.col("prices").alias("a"))

@@ -80,20 +80,10 @@ def restricted_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade.restricted_in(j, r)
 
 
-@query(f"""WITH {PATHS_SQL}, g AS (SELECT series_id, pos, model, move, avg(CASE WHEN terminal >= anchor * (1 + move) THEN 1.0 ELSE 0 END) AS p FROM red, {ensembles.GRID_SQL} WHERE pos = 250 GROUP BY 1, 2, 3, 4),
-    s AS (SELECT *, lead(move) OVER w AS x1, lead(p) OVER w AS p1 FROM g WINDOW w AS (PARTITION BY series_id, pos, model ORDER BY move))
-    SELECT series_id, pos, model, round(p + (0.0937 - move) / (x1 - move) * (p1 - p), 7) AS p FROM s WHERE move <= 0.0937 AND x1 > 0.0937""")
-def exceedance_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first as-of date, as its SQL; exceedance_interpolated_all takes every as-of date."""
-    red = ensembles.paths.reduced(ensembles.ensemble(spark, sf_dir).where("pos = 250")).withColumn("move", F.explode(F.array(*map(F.lit, ensembles.GRID))))
-    grid = red.groupBy(*ensembles.KEY, "move").agg(F.avg((F.col("terminal") >= F.col("anchor") * (1 + F.col("move"))).cast("double")).alias("p"))
-    return rounded(trade.interpolate(grid, ensembles.KEY, 0.0937), 7)
-
-
 @query(f"""WITH {PATHS_SQL}, g AS (SELECT series_id, pos, model, move, avg(CASE WHEN terminal >= anchor * (1 + move) THEN 1.0 ELSE 0 END) AS p FROM red, {ensembles.GRID_SQL} GROUP BY 1, 2, 3, 4),
     s AS (SELECT *, lead(move) OVER w AS x1, lead(p) OVER w AS p1 FROM g WINDOW w AS (PARTITION BY series_id, pos, model ORDER BY move))
     SELECT series_id, pos, model, round(p + (0.0937 - move) / (x1 - move) * (p1 - p), 7) AS p FROM s WHERE move <= 0.0937 AND x1 > 0.0937""")
-def exceedance_interpolated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exceedance_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every as-of date."""
     red = ensembles.paths.reduced(ensembles.ensemble(spark, sf_dir)).withColumn("move", F.explode(F.array(*map(F.lit, ensembles.GRID))))
     grid = red.groupBy(*ensembles.KEY, "move").agg(F.avg((F.col("terminal") >= F.col("anchor") * (1 + F.col("move"))).cast("double")).alias("p"))
@@ -196,11 +186,11 @@ def reports(spark: SparkSession) -> DataFrame:
 
 REPORT_SQL = "rp AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in REPORTS) + ") t(report_id, text))"
 _day = "CAST(try_strptime(regexp_replace(nullif({0}, ''), '^(\\d{{1,2}})(st|nd|rd|th)', '\\1'), '%d %B %Y') AS DATE)"
-_num = "try_cast(replace(nullif(regexp_extract(text, '{0}', 1), ''), ',', '') AS DOUBLE)"
-_rep = {n: r.replace("'", "''") for n, r in readers.REPORT.items()}
+_num = "try_cast(replace(nullif(regexp_extract(text, '{0}', {1}), ''), ',', '') AS DOUBLE)"
+_rep = {n: (r.replace("'", "''"), group) for n, (r, group) in readers.REPORT.items()}
 
 
-@query(f"WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, " + _day.format(f"regexp_extract(text, '{_rep['report_date']}', 1)") + " AS report_date, " + ", ".join(_num.format(_rep[n]) + f" AS {n}" for n in list(_rep)[1:]) + " FROM rp")
+@query(f"WITH {REPORT_SQL} SELECT CAST(report_id AS BIGINT) AS report_id, " + _day.format(f"regexp_extract(text, '{_rep['report_date'][0]}', 1)") + " AS report_date, " + ", ".join(_num.format(*_rep[n]) + f" AS {n}" for n in list(_rep)[1:]) + " FROM rp")
 def report_regex_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.report_fields(reports(spark))
 

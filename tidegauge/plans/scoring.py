@@ -215,10 +215,9 @@ def drift_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*SM, F.round("slope", 7).alias("slope"), F.round("r2", 6).alias("r2"))
 
 
-def binomial_tail(f: DataFrame, first: int | None = None) -> DataFrame:
-    """(series_id, seen, at_least, at_most) of the forecasts (series_id, pos, p, y), or of the first so many of each series."""
+def binomial_tail(f: DataFrame) -> DataFrame:
+    """(series_id, seen, at_least, at_most) of the forecasts (series_id, pos, p, y) of each series."""
     numbered = f.withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy("pos")))
-    numbered = numbered if first is None else numbered.where(F.col("i") <= first)
     packed = numbered.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("ps"), F.sum("y").cast("long").alias("seen"))
     zero = F.array(F.lit(0.0))
 
@@ -231,19 +230,6 @@ def binomial_tail(f: DataFrame, first: int | None = None) -> DataFrame:
     return rounded(got.select("series_id", "seen", total(F.slice("pmf", seen + 1, F.size("pmf"))).alias("at_least"), total(F.slice("pmf", F.lit(1), seen + 1)).alias("at_most")))
 
 
-@query(f"""WITH RECURSIVE {PROB_SQL}, e AS (SELECT series_id, p, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM ev WHERE model = 1 AND event_id = 'touch_below_0.1'),
-    f AS (SELECT series_id, p, i FROM e WHERE i <= 30),
-    o AS (SELECT series_id, CAST(sum(y) AS BIGINT) AS seen FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM ev WHERE model = 1 AND event_id = 'touch_below_0.1') WHERE i <= 30 GROUP BY 1),
-    r AS (SELECT DISTINCT series_id, CAST(0 AS BIGINT) AS i, [CAST(1 AS DOUBLE)] AS pmf FROM f
-          UNION ALL SELECT r.series_id, f.i, list_transform(range(0, len(r.pmf) + 1), lambda k: (CASE WHEN k < len(r.pmf) THEN r.pmf[k + 1] * (1 - f.p) ELSE 0 END) + (CASE WHEN k > 0 THEN r.pmf[k] * f.p ELSE 0 END))
-          FROM r JOIN f ON f.series_id = r.series_id AND f.i = r.i + 1),
-    l AS (SELECT series_id, max_by(pmf, i) AS pmf FROM r GROUP BY 1)
-    SELECT l.series_id, o.seen, round(list_sum(l.pmf[o.seen + 1:]), 8) AS at_least, round(list_sum(l.pmf[:o.seen + 1]), 8) AS at_most FROM l JOIN o ON o.series_id = l.series_id""")
-def poisson_binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first 30 forecasts of each series, as its SQL; poisson_binomial_tail_all takes all of them."""
-    return binomial_tail(forecasts(spark, sf_dir).where("model = 1 AND event_id = 'touch_below_0.1'"), 30)
-
-
 @query(f"""WITH RECURSIVE {PROB_SQL}, e AS (SELECT series_id, p, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM ev WHERE model = 1 AND event_id = 'touch_below_0.1'),
     f AS (SELECT series_id, p, i FROM e),
     o AS (SELECT series_id, CAST(sum(y) AS BIGINT) AS seen FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY pos) AS i FROM ev WHERE model = 1 AND event_id = 'touch_below_0.1') GROUP BY 1),
@@ -252,7 +238,7 @@ def poisson_binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
           FROM r JOIN f ON f.series_id = r.series_id AND f.i = r.i + 1),
     l AS (SELECT series_id, max_by(pmf, i) AS pmf FROM r GROUP BY 1)
     SELECT l.series_id, o.seen, round(list_sum(l.pmf[o.seen + 1:]), 8) AS at_least, round(list_sum(l.pmf[:o.seen + 1]), 8) AS at_most FROM l JOIN o ON o.series_id = l.series_id""")
-def poisson_binomial_tail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def poisson_binomial_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every forecast of each series."""
     return binomial_tail(forecasts(spark, sf_dir).where("model = 1 AND event_id = 'touch_below_0.1'"))
 

@@ -18,7 +18,7 @@ D = dt.date
 DUTY = [(D(1995, 1, 1), 0.04, "u:1", "primary"), (D(1996, 7, 1), 0.06, "u:2", "primary"), (D(1998, 3, 15), 0.10, "u:3", "secondary"), (D(2000, 1, 1), 0.075, "u:4", "primary")]
 TAX = [(D(1997, 7, 1), 0.03, "u:5", "primary"), (D(1999, 10, 1), 0.05, "u:6", "primary")]
 EXCISE = [(D(1995, 6, 1), 9.48, "u:7", "primary"), (D(1997, 1, 1), 19.48, "u:8", "primary"), (D(1999, 2, 1), 21.48, "u:9", "secondary")]
-GAPS = [(D(1996, 5, 1), D(1996, 8, 31)), (D(1998, 11, 10), D(1998, 12, 20))]
+GAPS = [(D(1996, 5, 1), D(1996, 8, 31)), (D(1996, 7, 15), D(1996, 10, 31)), (D(1998, 11, 10), D(1998, 12, 20))]
 BREAKS = [D(1996, 7, 1), D(1998, 3, 15), D(2000, 1, 1)]
 UNITS = 0.32
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -94,31 +97,32 @@ def har_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def har_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients by series and the sigmas 1 to 10 sessions ahead."""
     v = parkinson_frame(spark, sf_dir).select("series_id", "date", "v")
-    fits = volatility.har_fit(v, BY)
     last = v.where("v > 0").withColumn("k", F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("date")))).where("k <= 22")
-    recent = {r["series_id"]: [x["v"] for x in sorted(r["vs"], key=lambda x: x["date"])] for r in last.groupBy("series_id").agg(F.collect_list(F.struct("date", "v")).alias("vs")).collect()}
-    rows = [
-        (f["series_id"], h, *map(float, f["beta"]), f["smearing"], s)
-        for f in fits for h, s in enumerate(volatility.har_forward(f["beta"], f["smearing"], recent[f["series_id"]], 10), 1)
-    ]
-    return spark.createDataFrame(rows, "series_id string, horizon int, const double, day double, week double, month double, smearing double, sigma double")
+    recent = last.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "v"))), lambda x: x["v"]).alias("recent"))
+    fits = volatility.har_fit(v, BY).drop("n").join(recent, "series_id")
+
+    def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f in batch.itertuples(index=False):
+                beta = (f.const, f.day, f.week, f.month)
+                rows += [(f.series_id, h, *beta, f.smearing, s) for h, s in enumerate(volatility.har_forward(beta, f.smearing, f.recent, 10), 1)]
+            yield pd.DataFrame(rows, columns=["series_id", "horizon", "const", "day", "week", "month", "smearing", "sigma"])
+
+    return fits.mapInPandas(ahead, "series_id string, horizon int, const double, day double, week double, month double, smearing double, sigma double")
 
 
 GJR_SQL = f"""{BARS_SQL}, {RET_SQL}, k AS (SELECT series_id, date, r, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM ret WHERE r IS NOT NULL),
-    e AS (SELECT series_id, i, r AS e FROM k WHERE i <= 250),
+    e AS (SELECT series_id, i, r AS e FROM k),
     b AS (SELECT series_id, var_pop(e) AS v0 FROM e GROUP BY 1),
     g AS (SELECT series_id, CAST(1 AS BIGINT) AS i, v0 AS v FROM b
           UNION ALL SELECT g.series_id, g.i + 1, {THETA[0]!r} + ({THETA[1]!r} + CASE WHEN e.e < 0 THEN {THETA[2]!r} ELSE 0 END) * e.e * e.e + {THETA[3]!r} * g.v
           FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i)"""
 
 
-GJR_ALL_SQL = GJR_SQL.replace(" WHERE i <= 250", "")
-
-
-def _gjr(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
-    """(series_id, eps, v): the returns by series, or the first so many, and the variances under a fixed theta."""
+def _gjr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, eps, v): the returns by series, and the variances under a fixed theta."""
     numbered = log_r(spark, sf_dir).withColumn("i", F.row_number().over(returns.in_order(BY)))
-    numbered = numbered if first is None else numbered.where(F.col("i") <= first)
     packed = numbered.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("eps"), F.var_pop("r").alias("v0"))
     return packed.withColumn("v", volatility.gjr_variances(F.col("eps"), *THETA, F.col("v0")))
 
@@ -130,12 +134,6 @@ def _variances(gjr: DataFrame) -> DataFrame:
 
 @query(f"WITH RECURSIVE {GJR_SQL} SELECT series_id, i, round(v, 9) AS v FROM g")
 def gjr_fixed_theta_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first 250 returns of each series, as its SQL; gjr_fixed_theta_path_all takes all of them."""
-    return _variances(_gjr(spark, sf_dir, 250))
-
-
-@query(f"WITH RECURSIVE {GJR_ALL_SQL} SELECT series_id, i, round(v, 9) AS v FROM g")
-def gjr_fixed_theta_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every return of each series."""
     return _variances(_gjr(spark, sf_dir))
 
@@ -149,13 +147,6 @@ def _likelihood(gjr: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {GJR_SQL} SELECT g.series_id, round(sum(0.5 * ({math.log(2 * math.pi)!r} + ln(g.v) + e.e * e.e / g.v)), 6) AS nll
     FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i GROUP BY 1""")
 def gjr_fixed_theta_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first 250 returns of each series, as its SQL; gjr_fixed_theta_nll_all takes all of them."""
-    return _likelihood(_gjr(spark, sf_dir, 250))
-
-
-@query(f"""WITH RECURSIVE {GJR_ALL_SQL} SELECT g.series_id, round(sum(0.5 * ({math.log(2 * math.pi)!r} + ln(g.v) + e.e * e.e / g.v)), 6) AS nll
-    FROM g JOIN e ON e.series_id = g.series_id AND e.i = g.i GROUP BY 1""")
-def gjr_fixed_theta_nll_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every return of each series."""
     return _likelihood(_gjr(spark, sf_dir))
 
@@ -173,26 +164,16 @@ def _forward(gjr: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {GJR_SQL}, l AS (SELECT series_id, max_by(v, i) AS v FROM g GROUP BY 1)
     SELECT series_id, h, round(sqrt({_LEVEL!r} + pow({_P!r}, h - 1) * (v - {_LEVEL!r})), 8) AS sigma FROM l, range(1, 22) t(h)""")
 def gjr_forward_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """On the first 250 returns of each series, as its SQL; gjr_forward_sigma_all takes all of them."""
-    return _forward(_gjr(spark, sf_dir, 250))
-
-
-@query(f"""WITH RECURSIVE {GJR_ALL_SQL}, l AS (SELECT series_id, max_by(v, i) AS v FROM g GROUP BY 1)
-    SELECT series_id, h, round(sqrt({_LEVEL!r} + pow({_P!r}, h - 1) * (v - {_LEVEL!r})), 8) AS sigma FROM l, range(1, 22) t(h)""")
-def gjr_forward_sigma_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On every return of each series."""
     return _forward(_gjr(spark, sf_dir))
 
 
 @query()
 def gjr_fit_walkforward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GJR-t fits on expanding windows, a task for each as-of date; the history reaches a task once, as one array."""
-    r = log_r(spark, sf_dir).withColumn("pos", F.row_number().over(returns.in_order(BY)))
-    ends = r.where("pos >= 500 AND pos % 5 = 0").select("series_id", F.col("pos").alias("asof"))
-    windows = r.join(F.broadcast(ends), "series_id").where("pos <= asof").select("series_id", "asof", "date", "r")
-    # as in walk_forward: small windows would be coalesced into a few tasks
-    spread = windows.repartition(max(64, spark.sparkContext.defaultParallelism * 4), "series_id", "asof")
-    return volatility.gjr_fit_groups(spread, ["series_id", "asof"])
+    """GJR-t fits on expanding windows; the history reaches a task once for each group of as-of dates."""
+    r = log_r(spark, sf_dir).where("r IS NOT NULL")
+    packed = r.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "r"))), lambda x: x["r"]).alias("rs"))
+    return volatility.gjr_fit_asofs(packed, BY, "rs", first=500, step=5)
 
 
 BREACH_SQL = f"{ROLL_SQL}, breach AS (SELECT series_id, date, r < {VAR_Z!r} * sigma AS breach FROM roll WHERE sigma IS NOT NULL)"

@@ -6,7 +6,8 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +64,40 @@ class CacheStore:
         path = self.hadoop.Path(f"{self.root}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _versions(self, series_id: str) -> list[str]:
+        """Folders of the series, the current one first; a plain file of that name stands for itself."""
+        path, fs = self._path(f"{series_id}.current")
+        if not fs.exists(path):
+            plain = f"{series_id}.parquet"
+            return [plain] if fs.exists(self._path(plain)[0]) else []
+        return [r["value"] for r in self.spark.read.text(f"{self.root}/{series_id}.current", wholetext=True).collect()][0].split()
+
+    def _swap(self, name: str, content: str) -> None:
+        """Put a small file in one step: written beside, then renamed over what is there."""
+        aside, fs = self._path(f".{name}-{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+        rename = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        target, _ = self._path(name)
+        self.hadoop.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, target, options)
+
     def has(self, series_id: str) -> bool:
-        path, fs = self._path(f"{series_id}.parquet")
-        return fs.exists(path)
+        return bool(self._versions(series_id))
 
     def rows_only(self, series_id: str) -> DataFrame | None:
-        """The rows, whatever the sidecar is like; an unreadable file is a miss."""
-        if not self.has(series_id):
+        """The rows, whatever the sidecar is like. All of them are read once, as damage to pages shows only
+        then; what cannot be read is a miss."""
+        versions = self._versions(series_id)
+        if not versions:
             return None
         try:
-            return self.spark.read.parquet(f"{self.root}/{series_id}.parquet")
-        except AnalysisException:
+            rows = self.spark.read.parquet(f"{self.root}/{versions[0]}")
+            rows.write.format("noop").mode("overwrite").save()
+            return rows
+        except (PySparkException, Py4JJavaError):
             return None
 
     def meta(self, series_id: str) -> dict | None:
@@ -89,25 +113,26 @@ class CacheStore:
         return None if rows is None or meta is None else (rows, meta)
 
     def write(self, series_id: str, df: DataFrame, meta: Meta) -> None:
-        """Stage, then rename: a reader sees the old series or the new one."""
-        stage = f".staged-{series_id}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{stage}")
-        source, fs = self._path(stage)
-        target, _ = self._path(f"{series_id}.parquet")
-        fs.delete(target, True)
-        fs.rename(source, target)
-        side, _ = self._path(f"{series_id}.meta.json")
-        out = fs.create(side, True)
-        out.write(bytearray(json.dumps(asdict(meta), sort_keys=True, indent=1).encode()))
-        out.close()
+        """Write a new version, then swap the pointer to it: a reader sees the old series or the new one,
+        and one that has begun on the old one can end, as one version back is kept."""
+        version = f"{series_id}.{uuid.uuid4().hex}.parquet"
+        df.write.parquet(f"{self.root}/{version}")
+        older = self._versions(series_id)
+        self._swap(f"{series_id}.current", "\n".join([version, *older[:1]]))
+        self._swap(f"{series_id}.meta.json", json.dumps(asdict(meta), sort_keys=True, indent=1))
+        for name in older[1:]:
+            path, fs = self._path(name)
+            fs.delete(path, True)
 
     def merge_write(self, series_id: str, df: DataFrame, meta: Meta) -> DataFrame:
-        """Fresh rows win by date; OHLC holds only if both sides carry it."""
+        """Fresh rows win by date, the last of them that df lists; OHLC holds only if both sides carry it."""
         old = self.rows_only(series_id)
-        merged = df if old is None else merge_upsert(old, df, ["date"])
+        listed = df.withColumn("_seq", F.monotonically_increasing_id())
+        merged = keep_last(listed, ["date"], "_seq") if old is None else merge_upsert(old, listed, ["date"], "_seq")
+        merged = merged.drop("_seq")
         merged = merged.orderBy("date")
         known = self.meta(series_id)
         full = build_meta(merged, series_id, meta.source_name, meta.source_url, meta.citation, meta.fetched_at, tuple(meta.fallbacks))
         full.has_ohlc = meta.has_ohlc and (known is None or bool(known["has_ohlc"]))
         self.write(series_id, merged, full)
-        return self.spark.read.parquet(f"{self.root}/{series_id}.parquet")
+        return self.spark.read.parquet(f"{self.root}/{self._versions(series_id)[0]}")

@@ -52,12 +52,15 @@ def risk_sheet(df: DataFrame, names: dict[str, str], day: str = "DAY") -> DataFr
 
 # The layout of the bullion report.
 DAY = r"(\d{1,2}(?:st|nd|rd|th) [A-Z][a-z]+ \d{4})"
-REPORT = {
-    "report_date": r"Date:\s*" + DAY,
-    "gold_am": r"Gold\s+999\s+([\d,]+)\s+[\d,]+",
-    "gold_pm": r"Gold\s+999\s+[\d,]+\s+([\d,]+)",
-    "spdr_tonnes": r"SPDR\s+Gold\s+([\d,]+\.\d+)",
-    "london_pm": r"London\s+PM\s+Fix\(\$/oz\)\s+([\d,]+\.?\d*)",
+GOLD_ROW = r"Gold\s+999\s+([\d,]+)\s+([\d,]+)"
+HOLDING_ROW = r"SPDR\s+Gold\s+([\d,]+\.\d+)\s+(-?[\d,]+\.\d+)"
+REPORT = {  # pattern, group
+    "report_date": (r"Date:\s*" + DAY, 1),
+    "gold_am": (GOLD_ROW, 1),
+    "gold_pm": (GOLD_ROW, 2),
+    "spdr_tonnes": (HOLDING_ROW, 1),
+    "spdr_change": (HOLDING_ROW, 2),
+    "london_pm": (r"Gold\s+London\s+PM\s+Fix\(\$/oz\)\s+([\d,]+\.?\d*)", 1),
 }
 HISTORY = DAY + r"\s+([\d,]+)\s+[\d,]+"
 
@@ -74,7 +77,7 @@ def day_of(text: Column) -> Column:
 
 def report_fields(reports: DataFrame, text: str = "text") -> DataFrame:
     """One row by report; what the layout lacks is null."""
-    found = {n: F.nullif(F.regexp_extract(text, r, 1), F.lit("")) for n, r in REPORT.items()}
+    found = {n: F.nullif(F.regexp_extract(text, r, group), F.lit("")) for n, (r, group) in REPORT.items()}
     keep = [c for c in reports.columns if c != text]
     return reports.select(*keep, day_of(found["report_date"]).alias("report_date"), *[number(found[n]).alias(n) for n in list(REPORT)[1:]])
 
