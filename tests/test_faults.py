@@ -111,3 +111,12 @@ def test_fits_of_groups_of_dates_equal_single_fits(spark):
     got = {x["asof"]: x["nll"] for x in volatility.gjr_fit_asofs(arrays, ["series_id"], "rs", first=260, step=30).collect()}
     assert set(got) == {260, 290, 320}
     assert got[290] == pytest.approx(volatility.gjr_fit(r[:290])["nll"])
+
+
+def test_closes_alone_are_refused_and_a_zero_mean_is_kept(spark):
+    from tidegauge.errors import InsufficientDataError
+
+    with pytest.raises(InsufficientDataError):
+        volatility.require_ohlc(days(spark, [("2024-01-01", 1)]))
+    r = np.random.default_rng(5).normal(0.01, 0.01, 260)
+    assert volatility.gjr_fit(r, zero_mean=True)["mean"] == 0.0 and volatility.gjr_fit(r)["mean"] == pytest.approx(r.mean())

@@ -254,6 +254,13 @@ def chain_bootstrap(frames: list[np.ndarray], point: float, draws: int, block: i
     return spark.range(draws).mapInPandas(draw, "draw long, product double")
 
 
+def sign_changes(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """How often a value changes its sign in order; zeros and nulls are passed over."""
+    sign = df.where(F.col(value) != 0).withColumn("_s", F.signum(value))
+    before = F.lag("_s").over(in_order(by, order))
+    return sign.withColumn("_b", before).groupBy(*by).agg(F.count_if(F.col("_b") != F.col("_s")).alias("changes"), F.count(F.lit(1)).alias("n"))
+
+
 def rolling_benchmark(df: DataFrame, by: list[str], window: int, order: str = "week") -> DataFrame:
     """The out-of-sample benchmark: the mean of the window strictly before."""
     w = in_order(by, order).rowsBetween(-window, -1)

@@ -85,6 +85,20 @@ def reduced(paths: DataFrame) -> DataFrame:
     return paths.select(*[c for c in paths.columns if c not in ("prices", "shocks")], F.element_at("prices", -1).alias("terminal"), F.array_min("prices").alias("run_min"), F.array_max("prices").alias("run_max"))
 
 
+def scaled(paths: DataFrame, factor: float) -> DataFrame:
+    """The ensemble in another unit: prices and anchor times a positive factor."""
+    if factor <= 0:
+        raise ValueError("a scale is positive")
+    return paths.withColumns({"anchor": F.col("anchor") * factor, "prices": F.transform("prices", lambda p: p * factor)})
+
+
+def centred(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Shocks less their mean over all paths and steps of an ensemble: one number for each ensemble."""
+    total = F.aggregate("shocks", F.lit(0.0), lambda a, r: a + r)
+    mean = paths.groupBy(*by).agg((F.sum(total) / F.sum(F.size("shocks"))).alias("_mean"))
+    return paths.join(mean, by).withColumn("shocks", F.transform("shocks", lambda r: r - F.col("_mean"))).drop("_mean")
+
+
 def limited(shocks: Column, anchor: Column, cap: float, relaxed: float, carry_residual: bool = True) -> Column:
     """Prices under a session limit: a move beyond the cap is cut, the rest carried on, and the cap
     is relaxed in the session after a cut. Struct of prices and number of cuts."""

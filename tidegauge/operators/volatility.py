@@ -58,6 +58,13 @@ def har_design(variances: DataFrame, by: list[str], order: str = "date") -> Data
     return df.where("x_d IS NOT NULL AND x_w IS NOT NULL AND x_m IS NOT NULL")
 
 
+def require_ohlc(df: DataFrame) -> DataFrame:
+    """Range estimators need the whole bar: closes alone are refused when the plan is built."""
+    if missing := [c for c in ("open", "high", "low", "close") if c not in df.columns]:
+        raise InsufficientDataError(f"a range needs {', '.join(missing)}")
+    return df
+
+
 def gram(df: DataFrame, by: list[str], columns: list[str], y: str) -> DataFrame:
     """Cross products of the design by group, in one pass."""
     names = ["one", *columns]
@@ -198,13 +205,13 @@ def simplex(f, x0: np.ndarray, steps: int = 400, tol: float = 1e-7) -> tuple[np.
     return pts[best], float(vals[best])
 
 
-def gjr_fit(r: np.ndarray, used: np.ndarray | None = None, student: bool = True, least: int = 250) -> dict:
-    """Maximum likelihood of GJR(1,1,1) on returns x 100, from four starts."""
+def gjr_fit(r: np.ndarray, used: np.ndarray | None = None, student: bool = True, least: int = 250, zero_mean: bool = False) -> dict:
+    """Maximum likelihood of GJR(1,1,1) on returns x 100, from four starts; the mean is a constant or 0."""
     r = np.asarray(r, float) * 100
     used = np.isfinite(r) if used is None else np.asarray(used, bool) & np.isfinite(r)
     if used.sum() < least:
         raise InsufficientDataError(f"{int(used.sum())} usable returns, {least} needed")
-    mean = float(r[used].mean())
+    mean = 0.0 if zero_mean else float(r[used].mean())
     x = np.where(used, r - mean, 0.0)
     start = float(np.var(x[used]))
     xs, us = x.tolist(), used.tolist()

@@ -82,6 +82,18 @@ def ensemble_paths_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(paths.reduced(ensemble(spark, sf_dir)).drop("anchor"), 5)
 
 
+@query(f"WITH {PATHS_SQL} SELECT series_id, pos, model, path, round(anchor * 12.5, 4) AS anchor, round(terminal * 12.5, 4) AS terminal FROM red")
+def ensemble_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = paths.reduced(paths.scaled(ensemble(spark, sf_dir), 12.5))
+    return rounded(got.select(*KEY, "path", "anchor", "terminal"), 4)
+
+
+@query(f"""WITH {PATHS_SQL} SELECT series_id, pos, model, path, step, round(shock - avg(shock) OVER (PARTITION BY series_id, pos, model), 8) + 0 AS shock FROM shocks""")
+def ensemble_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = paths.centred(ensemble(spark, sf_dir), KEY).select(*KEY, "path", F.posexplode("shocks").alias("step", "shock"))
+    return got.withColumn("step", F.col("step").cast("long")).withColumn("shock", F.round("shock", 8) + F.lit(0.0))
+
+
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 

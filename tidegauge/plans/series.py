@@ -105,6 +105,14 @@ def schedule_asof_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedules.asof_schedule(derived.bars(spark, sf_dir).select("date").distinct(), duty(spark), ["duty"])
 
 
+@query(f"""WITH {BARS_SQL}, {RET_SQL}, s AS (SELECT series_id, date, sign(r) AS s FROM ret WHERE r <> 0), b AS (SELECT series_id, s, lag(s) OVER (PARTITION BY series_id ORDER BY date) AS b FROM s)
+    SELECT series_id, count(*) FILTER (WHERE b <> s) AS changes, count(*) AS n FROM b GROUP BY 1""")
+def return_sign_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.factors import sign_changes
+
+    return sign_changes(returns.with_returns(derived.bars(spark, sf_dir), returns.Log, "px", ["series_id"]), ["series_id"], "r", "date")
+
+
 @query(f"""WITH {BARS_SQL}, {EXCISE_SQL}, {GAPS_SQL}, x AS (SELECT DISTINCT date FROM bars)
     SELECT x.date, CASE WHEN EXISTS (SELECT 1 FROM gaps g WHERE x.date BETWEEN g.gap_from AND g.gap_until) THEN NULL ELSE e.excise END AS excise
     FROM x ASOF LEFT JOIN excise e ON x.date >= e.valid_from""")
