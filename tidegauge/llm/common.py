@@ -21,6 +21,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task: a worker that waits for its next
+    task would keep it from the executor's other work. Allocators without the call are left alone."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every machine sees. On one machine alone a session without the setting stages
     under its warehouse; on a cluster that is refused, as executors would write to their own disks."""

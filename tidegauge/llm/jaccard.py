@@ -34,13 +34,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bucket_count, fresh, partition_count, small_batches, stage
+from .common import ascii_lower, bucket_count, fresh, give_back, partition_count, small_batches, stage
 from .components import connected_components
 from .substring import _mix, _rolled
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
-FLUSH = 3_000_000
+FLUSH = 1_000_000  # shingles packed at a time: about 100 MB with all that packing takes
 BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 16 << 20
 CHUNK_TOKENS = 1_500_000
 BROADCAST_ROWS = 1_000_000  # two longs a row: 16 MB
@@ -109,10 +109,18 @@ def _blocks(bits: int):
                     held, n = {}, 0
         if held:
             yield from _pack(list(held.items()), bits)
+        held = {}
+        _forget()
 
     return blocks
 
 
+def _forget() -> None:
+    """The end of a task: the words' hashes go, and freed memory with them."""
+    _known.clear()
+    give_back()
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By class, how many of a bucket's shingles another class has too; one bucket is held at a time."""
     now, held = -1, []
@@ -129,6 +137,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(block.as_py())
     if held:
         yield _count_shared(held)
+    held = []
+    give_back()
 
 
 def _count_shared(blocks: list[bytes]) -> pa.RecordBatch:
@@ -174,6 +184,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in batch["text"].to_pylist()]
         sizes = pa.array([len(s) for s in sets], pa.int64())
         yield pa.RecordBatch.from_arrays([batch["cls"], sizes, pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "size", "tokens"])
+    _forget()
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, small_batches
+from .common import give_back, sampled, small_batches
 
 PER_CLASS = 3000
 LANDMARKS = 160
@@ -207,6 +207,11 @@ class Machine:
         a, b = self.platt
         return 1 / (1 + np.exp(-np.clip(a * self.margin(self.pooled(texts)) + b, -40, 40)))
 
+    def forget(self) -> None:
+        """The end of a task: the words' vectors go, and freed memory with them."""
+        self._known = {}
+        give_back()
+
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
@@ -334,6 +339,7 @@ def detect(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column,
             scores = machine.scores(batch["text"].to_pylist())
             columns = [batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64()), pa.array((scores >= TOXIC).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+        machine.forget()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     return texts.mapInArrow(score, OUT)
@@ -347,5 +353,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(machine.scores(batch.column(at).to_pylist()) < TOXIC, pa.bool_()))
+        machine.forget()
 
     return docs.mapInArrow(clean, docs.schema)
