@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import OverlappingWindowsError
+from ..functions import stats
 from .returns import in_order
 
 EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)]
@@ -128,6 +130,30 @@ def diebold_mariano(df: DataFrame, by: list[str], overlap: int, order: str = "po
     return got.select(*by, "n", "mean", F.when(variance > 0, stat).alias("statistic"))
 
 
+def t_two_sided(statistic: Column, n: Column) -> Column:
+    """Two-sided p of a t(n - 1) statistic; null where there is none. For one row a group, not for the hot path."""
+
+    @F.pandas_udf("double")
+    def p(x: pd.Series, k: pd.Series) -> pd.Series:
+        found = [None if pd.isna(v) or m < 2 else min(1.0, 2 * stats.t_sf(abs(v), m - 1)) for v, m in zip(x, k, strict=True)]
+        return pd.Series(found, dtype="float64")
+
+    return p(statistic, n)
+
+
+def skill_test(df: DataFrame, by: list[str], overlap: int, order: str = "pos", level: float = 0.05) -> DataFrame:
+    """The differential ``d`` (model less null) tested twice, over all windows with HAC errors and over disjoint ones
+    alone. Significant only if both reject and agree on the sign; a statistic that is undefined never rejects."""
+
+    def one(rows: DataFrame, windows: int, tag: str) -> DataFrame:
+        got = diebold_mariano(rows, by, windows, order).withColumn("p", t_two_sided(F.col("statistic"), F.col("n")))
+        return got.select(*by, *[F.col(c).alias(f"{c}_{tag}") for c in ("n", "mean", "statistic", "p")])
+
+    both = one(df, overlap, "all").join(one(thin(df, by, overlap, order), 1, "thinned"), by)
+    rejects = (F.col("p_all") < level) & (F.col("p_thinned") < level) & ((F.col("mean_all") < 0) == (F.col("mean_thinned") < 0))
+    return both.withColumn("significant", F.coalesce(rejects, F.lit(False))).withColumn("favours_model", F.col("mean_all") < 0)
+
+
 def conditional_coverage_p(total: Column) -> Column:
     """Chi-square with two degrees of freedom has a closed form."""
     return F.exp(-total / 2)

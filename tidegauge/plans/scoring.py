@@ -174,6 +174,12 @@ def dm_stat_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dm_rounded(scoring.diebold_mariano(scoring.thin(differentials(spark, sf_dir), SM, 3), SM, 1))
 
 
+@query()
+def skill_test_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tests of each model against the first; the p of t(n - 1) is not SQL."""
+    return scoring.skill_test(differentials(spark, sf_dir), SM, BLOCK)
+
+
 HS = [1, 3, 5]
 H_SQL = f"""{PATHS_SQL}, hp AS (SELECT series_id, pos, model, path, step + 1 AS h, price AS x FROM walked WHERE step + 1 IN ({", ".join(map(str, HS))})),
     ht AS (SELECT series_id, pos, {", ".join(f"lead(px, {h}) OVER (PARTITION BY series_id ORDER BY date) AS y{h}" for h in HS)} FROM p),
