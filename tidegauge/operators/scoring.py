@@ -154,6 +154,56 @@ def skill_test(df: DataFrame, by: list[str], overlap: int, order: str = "pos", l
     return both.withColumn("significant", F.coalesce(rejects, F.lit(False))).withColumn("favours_model", F.col("mean_all") < 0)
 
 
+DECAY = "slope double, intercept double, r2 double, p double, low double, high double, dates long, draws long"
+
+
+def decay_test(df: DataFrame, by: list[str], draws: int, block: int, order: str = "pos", seed: int = 1) -> DataFrame:
+    """Slope of skill against the log of the horizon, with the p and band of circular blocks of dates.
+
+    ``df`` has h and the losses ``m`` and ``b`` of model and baseline. Only dates read at every
+    horizon count. One group, dates by horizons of one series, is one task's; a draw weighs dates by
+    how often it visits them. Fewer than three horizons or two dates give no row, nor do fewer than
+    two draws of finite skill; p is never below one over the draws."""
+    read = df.where(F.col("m").isNotNull() & F.col("b").isNotNull())
+    keys = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    columns = [*by, *[c.split()[0] for c in DECAY.split(", ")]]
+
+    def line(x: np.ndarray, skill: np.ndarray) -> np.ndarray:
+        c = x - x.mean()
+        return skill @ c / (c @ c)
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot(index=order, columns="h", values=["m", "b"])
+        n_h = group["h"].nunique()
+        wide = wide.dropna().sort_index()
+        n = len(wide)
+        if n_h < 3 or n < 2 or block < 1:
+            return pd.DataFrame(columns=columns)
+        x = np.log(wide["m"].columns.to_numpy(float))
+        m, b = wide["m"].to_numpy(float), wide["b"].to_numpy(float)
+        size = min(block, n)
+        rng = np.random.default_rng(seed)
+        visits = np.zeros((draws, n))
+        for d in range(draws):
+            at = (rng.integers(0, n, -(-n // size))[:, None] + np.arange(size)).reshape(-1)[:n] % n
+            visits[d] = np.bincount(at, minlength=n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen, drawn = 1 - m.mean(0) / b.mean(0), 1 - (visits @ m) / (visits @ b)
+        slopes = line(x, drawn[np.isfinite(drawn).all(1)])
+        if len(slopes) < 2 or not np.isfinite(seen).all():
+            return pd.DataFrame(columns=columns)
+        slope = float(line(x, seen))
+        intercept = float(seen.mean() - slope * x.mean())
+        total = float(((seen - seen.mean()) ** 2).sum())
+        r2 = 1 - float(((seen - intercept - slope * x) ** 2).sum()) / total if total else 0.0
+        tail = min((slopes <= 0).mean(), (slopes >= 0).mean())
+        p = max(min(1.0, 2 * float(tail)), 1 / len(slopes))
+        low, high = (float(np.quantile(slopes, q)) for q in (0.025, 0.975))
+        return pd.DataFrame([(*key, slope, intercept, r2, p, low, high, n, len(slopes))], columns=columns)
+
+    return read.groupBy(*by).applyInPandas(one, f"{keys}, {DECAY}")
+
+
 def conditional_coverage_p(total: Column) -> Column:
     """Chi-square with two degrees of freedom has a closed form."""
     return F.exp(-total / 2)

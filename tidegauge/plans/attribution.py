@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import factors
+from ..operators import attribution, factors
 from ..operators.factors import Factor
 from ..sources import derived
 from .registry import query
@@ -156,3 +156,44 @@ def chain_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = factors.chain_bootstrap(frames, point, 200, 6, spark)
     band = stars.agg(F.percentile("product", F.lit(0.025)).alias("low"), F.percentile("product", F.lit(0.975)).alias("high"))
     return band.select(F.lit(point).alias("point"), "low", "high", ((F.col("low") <= 0) & (F.col("high") >= 0)).alias("spans_zero"))
+
+
+@query()
+def rolling_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the loadings vary over windows of 156 weeks refitted every 4, beside the bootstrap's band."""
+    d = the_design(spark, sf_dir)
+    return attribution.stability(attribution.rolling_loadings(d, COLS), factors.loadings(d, COLS, draws=100))
+
+
+@query()
+def walkforward_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R squared out of sample against the window's mean, drivers of the same week and of the week before."""
+    return attribution.both_kinds(the_design(spark, sf_dir), COLS)
+
+
+@query()
+def leave_one_driver_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.leave_one_out(the_design(spark, sf_dir), COLS, [f.name for f in FACTORS if f.required])
+
+
+IDENTITY_SQL = """m AS (SELECT o_orderstatus AS status, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, ln(sum(o_totalprice)) AS t, ln(avg(o_totalprice)) AS a, ln(count(*)) AS n
+        FROM orders GROUP BY 1, 2),
+    d AS (SELECT status, month, t - lag(t) OVER w AS total, a - lag(a) OVER w AS price, n - lag(n) OVER w AS orders FROM m WINDOW w AS (PARTITION BY status ORDER BY month)),
+    x AS (SELECT *, lag(price) OVER (PARTITION BY status ORDER BY month) AS stale FROM d),
+    y AS (SELECT status, 'now' AS of, total AS y, price AS a, orders AS b FROM x WHERE total IS NOT NULL UNION ALL
+          SELECT status, 'stale', total, stale, orders FROM x WHERE stale IS NOT NULL),
+    c AS (SELECT status, of, count(*) AS months, covar_pop(a, a) AS aa, covar_pop(b, b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bee, covar_pop(y, y) AS yy FROM y GROUP BY 1, 2 HAVING count(*) >= 24),
+    s AS (SELECT *, (ay * bb - bee * ab) / (aa * bb - ab * ab) AS ca, (bee * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM c)"""
+
+
+@query(f"""WITH {IDENTITY_SQL} SELECT status, of, months, round((ca * ay + cb * bee) / yy, 5) AS r2, part, round(CASE part WHEN 'price' THEN ca ELSE cb END, 4) AS elasticity
+    FROM s, (VALUES ('price'), ('orders')) p(part)""")
+def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A month's total is price times orders, so both elasticities are one; with the price of the month before they are not."""
+    orders = derived.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.trunc("o_orderdate", "MM").alias("month"), "o_totalprice")
+    m = orders.groupBy("status", "month").agg(F.ln(F.sum("o_totalprice")).alias("y"), F.ln(F.avg("o_totalprice")).alias("price"), F.ln(F.count(F.lit(1))).alias("orders"))
+    w = Window.partitionBy("status").orderBy("month")
+    d = m.select("status", "month", *[(F.col(c) - F.lag(c).over(w)).alias(c) for c in ("y", "price", "orders")])
+    both = d.withColumn("of", F.lit("now")).unionByName(d.withColumn("price", F.lag("price").over(w)).withColumn("of", F.lit("stale")))
+    got = attribution.identity_check(both, ["status", "of"], ["price", "orders"])
+    return got.withColumn("r2", F.round("r2", 5)).withColumn("elasticity", F.round("elasticity", 4))

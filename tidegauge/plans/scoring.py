@@ -210,6 +210,15 @@ def skill_decay_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(s.groupBy(*SM).agg(F.regr_slope("skill", "x").alias("slope"), F.regr_intercept("skill", "x").alias("intercept")), 7)
 
 
+@query()
+def skill_decay_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decay of each model's skill over the first's, with a bootstrap over dates of the reference's 5000 draws."""
+    h = by_horizon(spark, sf_dir).select(*KEY, "h", "crps")
+    base = F.max(F.when(F.col("model") == 0, F.col("crps"))).over(Window.partitionBy("series_id", "pos", "h"))
+    both = h.withColumn("b", base).withColumnRenamed("crps", "m").where("model > 0")
+    return scoring.decay_test(both, SM, 5000, BLOCK)
+
+
 @query(f"""WITH {H_SQL}, s AS (SELECT series_id, model, h, avg(pit) - 0.5 AS m FROM hc GROUP BY 1, 2, 3)
     SELECT series_id, model, round(sum(m * sqrt(h)) / sum(h), 7) AS slope,
         round(1 - sum((m - b * sqrt(h)) ** 2) / nullif(sum(m * m), 0), 6) AS r2 FROM (SELECT *, sum(m * sqrt(h)) OVER (PARTITION BY series_id, model) / sum(h) OVER (PARTITION BY series_id, model) AS b FROM s) GROUP BY 1, 2""")
