@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegauge.operators import attribution, scoring
+from tidegauge.operators import attribution, factors, scoring
 from tidegauge.plans import attribution as plans
 
 COLUMNS = ["a", "b"]
@@ -102,3 +102,16 @@ def test_queries_of_the_weekly_design(spark):
     assert {k: r["weeks"] for k, r in kinds.items()} == {"contemporaneous": n - 156, "predictive": n - 157}
     assert {r["driver"] for r in plans.leave_one_driver_out(spark, sf).collect()} == set(plans.COLS)
     assert {r["windows"] for r in plans.rolling_stability(spark, sf).collect()} == {len(range(156, n + 1, 4))}
+
+
+def test_a_control_is_held_constant(spark):
+    rng = np.random.default_rng(8)
+    n = 400
+    c = rng.normal(size=n)
+    shock = c + rng.normal(size=n)
+    response = 3 * c + 0.5 * shock
+    frame = lambda name, v: spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], f"month long, {name} double")
+    args = frame("shock", shock), frame("response", response), 0, 1
+    free = factors.project(factors.projection_design(*args), 0)
+    held = factors.project(factors.projection_design(*args, controls=frame("c", c)), 0)
+    assert held["beta"] == pytest.approx(0.5) and free["beta"] > 1.5 and held["n"] == n - 1

@@ -209,17 +209,20 @@ def loadings(df: DataFrame, columns: list[str], draws: int = 200, block: int = 8
     return point.join(band, "driver").select(*[c.split()[0] for c in LOADINGS.split(", ")])
 
 
-def projection_design(shock: DataFrame, response: DataFrame, horizon: int, lags: int, key: str = "month") -> DataFrame:
-    """y = cumulative response over 1..h (its own value at h = 0) on the shock and lags of both.
+def projection_design(shock: DataFrame, response: DataFrame, horizon: int, lags: int, key: str = "month", controls: DataFrame | None = None) -> DataFrame:
+    """y = cumulative response over 1..h (its own value at h = 0) on the shock, lags of both and
+    the controls (key and their columns) of the same row, which are held constant.
 
-    Outer join first, lags over the union's rows, incomplete rows last."""
+    Outer joins first, lags over the union's rows, incomplete rows last."""
     w = Window.orderBy(key)
     both = shock.join(response, key, "full")
+    held = [c for c in controls.columns if c != key] if controls is not None else []
+    both = both.join(controls, key, "full") if held else both
     ahead = w.rowsBetween(1, horizon) if horizon else w.rowsBetween(0, 0)
     need = max(horizon, 1)
     y = F.when(F.count("response").over(ahead) == need, F.sum("response").over(ahead))
     lagged = [F.lag(c, k).over(w).alias(f"{c}_{k}") for c in ("shock", "response") for k in range(1, lags + 1)]
-    return both.select(key, y.alias("y"), "shock", *lagged).na.drop()
+    return both.select(key, y.alias("y"), "shock", *lagged, *held).na.drop()
 
 
 def project(df: DataFrame, horizon: int, key: str = "month") -> dict:

@@ -197,3 +197,32 @@ def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = d.withColumn("of", F.lit("now")).unionByName(d.withColumn("price", F.lag("price").over(w)).withColumn("of", F.lit("stale")))
     got = attribution.identity_check(both, ["status", "of"], ["price", "orders"])
     return got.withColumn("r2", F.round("r2", 5)).withColumn("elasticity", F.round("elasticity", 4))
+
+
+def orthogonalised(spark: SparkSession, sf_dir: str, horizon: int = 3, lags: int = 1) -> DataFrame:
+    """The projection with the monthly change of shipped quantity held constant."""
+    items = derived.table(spark, sf_dir, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(F.ln(F.avg("l_quantity")).alias("v"))
+    held = items.select("month", (F.col("v") - F.lag("v").over(Window.orderBy("month"))).alias("quantity")).where("quantity IS NOT NULL")
+    shock = monthly(spark, sf_dir, "F").withColumnRenamed("value", "shock")
+    response = monthly(spark, sf_dir, "O").withColumnRenamed("value", "response")
+    return factors.projection_design(shock, response, horizon, lags, controls=held)
+
+
+@query(f"""WITH {_monthly('a', 'F')}, {_monthly('b', 'O')},
+    c AS (SELECT month, v - lag(v) OVER (ORDER BY month) AS quantity FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, ln(avg(l_quantity)) AS v FROM lineitem GROUP BY 1)),
+    j AS (SELECT month, any_value(shock) AS shock, any_value(response) AS response, any_value(quantity) AS quantity FROM (
+        SELECT month, value AS shock, NULL::DOUBLE AS response, NULL::DOUBLE AS quantity FROM a WHERE value IS NOT NULL UNION ALL
+        SELECT month, NULL, value, NULL FROM b WHERE value IS NOT NULL UNION ALL SELECT month, NULL, NULL, quantity FROM c WHERE quantity IS NOT NULL) GROUP BY 1),
+    x AS (SELECT month, CASE WHEN count(response) OVER f = 3 THEN sum(response) OVER f END AS y, shock, lag(shock) OVER w AS shock_1, lag(response) OVER w AS response_1, quantity
+          FROM j WINDOW w AS (ORDER BY month), f AS (ORDER BY month ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING))
+    SELECT month, round(y, 8) AS y, round(shock, 8) AS shock, round(shock_1, 8) AS shock_1, round(response_1, 8) AS response_1, round(quantity, 8) AS quantity
+    FROM x WHERE y IS NOT NULL AND shock IS NOT NULL AND shock_1 IS NOT NULL AND response_1 IS NOT NULL AND quantity IS NOT NULL""")
+def orthogonalised_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(orthogonalised(spark, sf_dir))
+
+
+@query()
+def orthogonalised_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses at horizons 0 to 6 with quantity held constant."""
+    rows = [(h, *(got[k] for k in ("beta", "se", "n"))) for h in range(7) if (got := factors.project(orthogonalised(spark, sf_dir, h), h))]
+    return spark.createDataFrame(rows, "horizon int, beta double, se double, n int")
