@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import give_back, small_batches, stage
 
 CAPACITY = 2048
 END = 0
@@ -124,6 +124,8 @@ def _pieces(path: str, capacity: int):
                 ],
                 names=[c.split()[0] for c in PIECES.split(", ")],
             )
+        encoder = rows = batch = None
+        give_back()
 
     return cut
 

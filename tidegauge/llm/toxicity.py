@@ -44,7 +44,8 @@ FLOOR = 0.4  # kernel values below this count as 0
 SHAPES = [(b, c) for b in range(1, REACH) for c in range(b + 1, REACH + 1)]
 LONGEST = 24
 SLOTS = 1 << 15
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 100_000  # in each of two generations
+PART = 8192  # words whose kernel values are found at once
 SINGLES = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -128,12 +129,27 @@ def dense(words: list[str]) -> np.ndarray:
     return out / np.maximum(np.bincount(owner, norm**2, len(words)) ** 0.5, 1e-6)[:, None].astype(np.float32)
 
 
-def kernel(words: list[str], landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kernel values of at least FLOOR: word, landmark, value. ``landmarks`` is slots x m.
+def compact(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' triple weights without the slots that none of them has: each slot's row (0: none), and the rows by word."""
+    found = []
+    for at in range(0, len(words), 16):
+        part = dense(words[at : at + 16])
+        word, slot = np.nonzero(part)
+        found.append((word + at, slot, part[word, slot]))
+    word, slot, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    rows = np.zeros(SLOTS, np.int32)
+    used = np.unique(slot)
+    rows[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(words)), np.float32)
+    table[rows[slot], word] = weight
+    return rows, table
+
+
+def kernel(words: list[str], slots: np.ndarray, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel values of at least FLOOR: word, landmark, value. ``slots`` and ``landmarks`` are from ``compact``.
 
     A word's value is at most the share of its own weight that lies in the landmarks' slots, so
     the words with less than FLOOR of it there are passed over without loss."""
-    active = landmarks.any(1)
     codes, owner = _coded(words)
     lengths = (codes > 0).sum(1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -144,15 +160,16 @@ def kernel(words: list[str], landmarks: np.ndarray) -> tuple[np.ndarray, np.ndar
             index, weight = _triples(codes[rows, :high])
             squares = weight**2
             norm = (index > 0) @ squares
-            likely = np.flatnonzero(active[index] @ squares >= FLOOR**2 * norm)
+            index = slots[index]
+            likely = np.flatnonzero((index > 0) @ squares >= FLOOR**2 * norm)
             if not len(likely):
                 continue
-            rows, index, norm = rows[likely], index[likely], np.sqrt(norm[likely]).astype(np.float32)
+            rows, index, norm = rows[likely], np.ascontiguousarray(index[likely].T), np.sqrt(norm[likely]).astype(np.float32)
             values = np.zeros((len(rows), landmarks.shape[1]), np.float32)
-            for j in range(index.shape[1]):
-                used = np.flatnonzero(active[index[:, j]])
+            for column, part in zip(index, weight, strict=True):
+                used = np.flatnonzero(column)
                 if len(used):
-                    values[used] += np.float32(weight[j]) * landmarks[index[used, j]]
+                    values[used] += np.float32(part) * landmarks[column[used]]
             values /= np.maximum(norm, 1e-6)[:, None]
             r, c = np.nonzero(values >= FLOOR)
             found.append((owner[rows[r]], c, values[r, c]))
@@ -170,18 +187,22 @@ class Machine:
     platt: tuple[float, float] = (1.0, 0.0)
 
     def learn(self, words: set[str]) -> None:
-        """Remember the kernel values of new words; most words have none."""
+        """Remember the kernel values of new words; most words have none. A word that does not come
+        again in a generation of KNOWN_WORDS is forgotten: most words that come once come only once."""
         if not hasattr(self, "_table"):
-            self._table = np.ascontiguousarray(dense(self.landmarks).T)
-            self._table[0] = 0
+            self._table = compact(self.landmarks)
             self._known: dict[str, tuple | None] = {}
+            self._older: dict[str, tuple | None] = {}
         if len(self._known) > KNOWN_WORDS:
-            self._known.clear()
-        new = list(words - self._known.keys())
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+            self._older, self._known = self._known, {}
+        unknown = words - self._known.keys()
+        again = unknown & self._older.keys()
+        self._known.update((w, self._older[w]) for w in again)
+        new = list(unknown - again)
+        for at in range(0, len(new), PART):
+            part = new[at : at + PART]
             self._known.update(dict.fromkeys(part))
-            word, mark, value = kernel(part, self._table)
+            word, mark, value = kernel(part, *self._table)
             order = np.argsort(word, kind="stable")
             cuts = np.flatnonzero(np.diff(word[order])) + 1
             for rows in np.split(order, cuts) if len(order) else ():
@@ -194,8 +215,8 @@ class Machine:
             sets = [words_of(t) for t in texts[first : first + 200]]
             self.learn(set().union(*sets))
             for row, words in enumerate(sets, first):
-                for hit in filter(None, map(self._known.__getitem__, words)):
-                    np.maximum.at(out[row], hit[0], hit[1])
+                if hits := list(filter(None, map(self._known.__getitem__, words))):
+                    np.maximum.at(out[row], *(np.concatenate(x) for x in zip(*hits, strict=True)))
         return out**POWER
 
     def margin(self, pooled: np.ndarray) -> np.ndarray:
@@ -209,7 +230,8 @@ class Machine:
 
     def forget(self) -> None:
         """The end of a task: the words' vectors go, and freed memory with them."""
-        self._known = {}
+        for name in [n for n in self.__dict__ if n.startswith("_")]:
+            del self.__dict__[name]
         give_back()
 
     def __getstate__(self) -> dict:
@@ -283,6 +305,8 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [[w for w in words_of(t) if len(w) <= 4 * LONGEST] for t in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+    words = batch = None
+    give_back()
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PER_CLASS, n_landmarks: int = LANDMARKS) -> Machine:
@@ -322,6 +346,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = PE
             texts = batch["text"].to_pylist()
             rows = [v.astype("<f4").tobytes() for v in blank.pooled(texts)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(rows, pa.binary())], names=["doc_id", "toxic", "v"])
+        blank.forget()
 
     got = sorted(sample.mapInArrow(pool, "doc_id long, toxic int, v binary").collect(), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["v"]))
     if len({r["toxic"] for r in got}) < 2:
